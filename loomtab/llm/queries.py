@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtab.functions.urls import page_key
-from loomtab.llm import collapse, seen
+from loomtab.llm import collapse, leakage, seen
 from loomtab.session import table
 
 
@@ -41,7 +41,18 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(t.select(F.col("row_id").alias("keep_id"), "c0", "c1", "c2"), "keep_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rate, p6_store, p7_found, p7_records)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that held passages, without the spans that stem from them."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    spans = leakage.leaked_spans(docs, items)
+    return leakage.remove_spans(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), spans)
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_rate, p6_store, p7_found, p7_records, p9_found, p9_cleaned)}
 
 def _page_sql(t: str) -> str:
     """SQL of :func:`loomtab.functions.urls.page_key`."""
