@@ -40,7 +40,7 @@ _LABEL = re.compile(r"^[^，。；,;“”\"]{1,24}[:：]")
 _SPEAKER = re.compile(r"^[^\s，。；,;：:]{1,8}\d+[:：]")
 _PATH = re.compile(r"\S\s*[>›»→]\s*\S.*[>›»→]\s*\S")
 #: Text that speaks to the visitor instead of about the subject.
-_VISITOR = re.compile(r"(?i)cookie|您|本站|扫码|客户端|赞助播出|^广告|版权所有|点击|订阅|会员")
+_VISITOR = re.compile(r"(?i)cookie|您|本站|扫码|客户端|赞助播出|^广告|版权所有")
 
 
 class Node:

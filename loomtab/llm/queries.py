@@ -6,8 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtab.functions.urls import page_key
-from loomtab.llm import collapse, leakage, seen
-from loomtab.session import table
+from loomtab.llm import collapse, leakage, mainbody, matching, seen
+from loomtab.operators import multivalue, nested
+from loomtab.session import cut, table
+
+
+#: Attributes of a person that name other persons, and those that name the person itself.
+KIN = ["父亲", "母亲", "养父", "养母", "妻子", "丈夫", "师父"]
+OWN_NAMES = r"^(?:别名|别称|字号|又名|本名|中文名|曾用名)(?:\[\d+\])?$"
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of numbers with the rule that found them and its confidence."""
+    flat = nested.flatten(table(spark, d, "entity_relationship"), "id", {"entity": "entity", "relationship": "relationship"})
+    flat = cut(flat.select(matching.number(F.col("url")).alias("a"), "kind", "name", "path", "value", "to_name").where("a is not null").distinct())
+    persons = flat.where("kind = 'item'").select("a", "name")
+    facts = flat.where("kind = 'string'")
+    kin = flat.where("kind = 'relation'").select("a", F.col("value").alias("rel"), F.col("to_name").alias("who")).unionByName(facts.where(F.col("path").isin(KIN)).select("a", F.col("path").alias("rel"), F.col("value").alias("who")))
+    kin = kin.unionByName(facts.where(F.col("path").rlike(r"同僚\[\d+\]\.姓名$")).select("a", F.lit("同僚").alias("rel"), F.col("value").alias("who")))
+    aliases = facts.where(F.col("path").rlike(OWN_NAMES)).select("a", F.explode(multivalue.items(F.col("value"))).alias("alias"))
+    names_a, kin_a = matching.source_a(persons, kin, aliases)
+    names_b, kin_b = matching.source_b(table(spark, d, "relation_triad"))
+    return matching.match(names_a, kin_a, names_b, kin_b)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).select(F.col("a").alias("er_no"), F.col("b").alias("tri_no"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.blocks(table(spark, d, "person_url_html")).select("id", "block_md5")
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each page as one text."""
+    b = mainbody.blocks(table(spark, d, "person_url_html"))
+    return b.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n").alias("body"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +86,7 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_spans(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), spans)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_rate, p6_store, p7_found, p7_records, p9_found, p9_cleaned)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p6_found, p6_rate, p6_store, p7_found, p7_records, p9_found, p9_cleaned)}
 
 def _page_sql(t: str) -> str:
     """SQL of :func:`loomtab.functions.urls.page_key`."""
