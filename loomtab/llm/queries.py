@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtab.functions.urls import page_key
-from loomtab.llm import collapse, leakage, mainbody, matching, seen
+from loomtab.llm import collapse, leakage, mainbody, matching, packing, seen, topics
 from loomtab.operators import multivalue, nested
 from loomtab.session import cut, table
 
@@ -86,7 +86,36 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_spans(docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), spans)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p6_found, p6_rate, p6_store, p7_found, p7_records, p9_found, p9_cleaned)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.measure(table(spark, d, "documents")))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
+
+
+def _model(spark: SparkSession, d: str):
+    return topics.fit(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return topics.assign(table(spark, d, "documents"), _model(spark, d)).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and sentences of the corpus by subject."""
+    got = topics.assign(table(spark, d, "documents"), _model(spark, d))
+    return got.groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+def p10_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topics with their subjects and top terms, for inspection."""
+    model = _model(spark, d)
+    rows = topics.topic_table(model) if model else []
+    return spark.createDataFrame(rows, "topic int, subject string, weight double, top_terms string")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_text, p6_found, p6_rate, p6_store, p7_found, p7_records, p8_containers, p8_fill, p9_found, p9_cleaned, p10_found, p10_composition, p10_topics)}
 
 def _page_sql(t: str) -> str:
     """SQL of :func:`loomtab.functions.urls.page_key`."""

@@ -14,6 +14,7 @@ R = np.uint64(0x9E3779B97F4A7C15)
 R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 HAN = 1 << 30
+STOPS = np.array([ord(x) for x in "。！？!?\n."], np.uint32)
 
 
 def char_table(simplify: dict[str, str]) -> np.ndarray:
@@ -69,8 +70,12 @@ class Tokens:
         h ^= h >> np.uint64(32)
         h *= MIX
         self.hash = h ^ (h >> np.uint64(29))
+        self.han = c[a] >= HAN
         self.text = np.searchsorted(begin, a, "right") - 1
         self.start, self.end = a - begin[self.text], z + 1 - begin[self.text]
+        stop = np.isin(code, STOPS)
+        stop[begin[1:] - 1] = True  # a text ends a sentence too
+        self.sentence = np.cumsum(stop)[a]
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of n tokens within a text, and the place of the first token of each."""
@@ -84,3 +89,15 @@ class Tokens:
         g ^= g >> np.uint64(31)
         at = np.flatnonzero(self.text[:k] == self.text[n - 1 :])
         return g[at], at
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of words and of pairs of neighbouring Han characters, and the first token of each."""
+        n = len(self.hash)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        pair = np.zeros(n, bool)
+        pair[:-1] = self.han[:-1] & self.han[1:] & (self.text[:-1] == self.text[1:]) & (self.end[:-1] == self.start[1:])
+        f = self.hash.copy()
+        f[:-1] = np.where(pair[:-1], self.hash[:-1] * R + self.hash[1:], f[:-1])
+        at = np.flatnonzero(pair | ~self.han)
+        return f[at], at
