@@ -19,12 +19,16 @@ count once; ties resolve nothing; empty tables give no pair.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtab.functions.script import simplify
+from loomtab.functions.script import simplify, simplify_map
 from loomtab.session import cut
 
 BRACKETS = r"[(（\[［【〔<〈].*?[)）\]］】〕>〉]"
@@ -63,14 +67,40 @@ def number(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"/(\d+)/?\s*$", 1).try_cast("long")
 
 
-def endpoint(c: Column) -> tuple[Column, Column]:
-    """(name, number) of an endpoint text with name and address in either order and any quotation."""
-    s = F.coalesce(c, F.lit(""))
-    rest = F.regexp_replace(s, ADDRESS, "")
-    inner = F.regexp_replace(rest, r"(?U)^\s*[\[(［（]?\s*|\s*[\])］）]?\s*$", "")
-    name = F.regexp_replace(inner, r"(?U)['\"‘’“”]{2}|^[\s,，|'\"‘’“”]+|[\s,，|'\"‘’“”]+$", "")
-    name = F.regexp_replace(name, r"(?U)^[\s,，|'\"‘’“”]+|[\s,，|'\"‘’“”]+$", "")
-    return name, number(F.regexp_extract(s, f"({ADDRESS})", 1))
+_BRACKETS, _ADDRESS, _NUMBER = re.compile(BRACKETS), re.compile(ADDRESS), re.compile(r"/(\d+)/?$")
+_OUTER = re.compile(r"^\s*[\[(［]\s*(?=['\"‘’“”])|(?<=['\"‘’“”])\s*[\])］]\s*$")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def endpoint(s: str | None, simple: dict[int, str]) -> tuple[str, int | None]:
+    """(key of the name, number) of an endpoint text with name and address in either order and any quotation."""
+    s = s or ""
+    m = _ADDRESS.search(s)
+    n = _NUMBER.search(m[0]) if m else None
+    name = _OUTER.sub("", _ADDRESS.sub("", s))
+    plain = _BRACKETS.sub(" ", name).translate(simple).lower()
+    words = _WORD.findall(plain)
+    key = "".join(words)
+    if any("a" <= c <= "z" for c in key):
+        key = " ".join(sorted(words))
+    return key, int(n[1]) if n and len(n[1]) < 19 else None
+
+
+def _endpoints(statements: DataFrame, c0: str, rel: str, c2: str) -> DataFrame:
+    """(n0, i0, rel, n2, i2). In a batch each different text is parsed once, so that a hot person costs little."""
+    simple = {ord(a): b for a, b in simplify_map(statements.sparkSession).items()}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            cols = []
+            for j in (0, 2):
+                d = pc.dictionary_encode(b.column(j), null_encoding="encode")
+                got = [endpoint(t, simple) for t in d.dictionary.to_pylist()]
+                at = d.indices
+                cols += [pa.array([g[0] for g in got], pa.string()).take(at), pa.array([g[1] for g in got], pa.int64()).take(at)]
+            yield pa.RecordBatch.from_arrays([cols[0], cols[1], b.column(1), cols[2], cols[3]], ["n0", "i0", "rel", "n2", "i2"])
+
+    return statements.select(F.col(c0), F.col(rel), F.col(c2)).mapInArrow(run, "n0 string, i0 long, rel string, n2 string, i2 long")
 
 
 def _forms(key: Column, kind: str) -> Column:
@@ -131,10 +161,8 @@ def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame) -> tuple[Da
 
 def source_b(statements: DataFrame, c0: str = "c0", rel: str = "c1", c2: str = "c2") -> tuple[DataFrame, DataFrame]:
     """names(b, form, key) and kin(b, cls, who, no) of the source of (endpoint, relation, endpoint) statements."""
-    n0, i0 = endpoint(F.col(c0))
-    n2, i2 = endpoint(F.col(c2))
-    raw = statements.select(n0.alias("n0"), i0.alias("i0"), F.col(rel).alias("rel"), n2.alias("n2"), i2.alias("i2")).distinct()
-    s = raw.select(name_key(F.col("n0")).alias("n0"), "i0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), name_key(F.col("n2")).alias("n2"), "i2").distinct()
+    raw = _endpoints(statements, c0, rel, c2)
+    s = raw.select("n0", "i0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), "n2", "i2").distinct()
     both = s.select(F.explode(F.array(
         F.struct(F.col("i0").alias("b"), F.col("n0").alias("k"), F.col("r").alias("cls"), F.col("n2").alias("who"), F.col("i2").alias("no")),
         F.struct(F.col("i2").alias("b"), F.col("n2").alias("k"), F.col("back").alias("cls"), F.col("n0").alias("who"), F.col("i0").alias("no")),
@@ -201,25 +229,28 @@ def match(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataF
     """(a, b, rule, shared, confidence). ``labels``: known pairs (a, b); none of their persons has another partner."""
     names_a, kin_a, names_b, kin_b = (cut(t) for t in (names_a, kin_a, names_b, kin_b))
     plain = kin_b.select("b", "cls", "who")
-    first_pairs = cut(_supported(names_a, kin_a, names_b, plain))
+    whole = "form = 'full'"
+    first_pairs = cut(_supported(names_a.where(whole), kin_a, names_b.where(whole), plain))
     done = cut(_resolve(_ruled(first_pairs, STRONG)))
-    passes = [done]
-    # related persons are now known by the name that the first source has for them
-    full = names_a.where("form = 'full'").select("a", F.substring("key", 2, 1000).alias("who2"))
-    for _ in range(2):
+    passes, tried = [done], [first_pairs]
+    # from here on persons related are also known by the name that the first source has for them
+    full = names_a.where(whole).select("a", F.substring("key", 2, 1000).alias("who2"))
+    for rules in (STRONG, STRONG + WEAK, STRONG + WEAK):
         known = done.select("a", F.col("b").alias("no")).join(full, "a").select("no", "who2")
         more = plain.unionByName(kin_b.where("no is not null").join(known, "no").select("b", "cls", F.col("who2").alias("who"))).distinct()
-        rest = _supported(_left_over(names_a, done, "a"), kin_a, _left_over(names_b, done, "b"), more)
-        new = cut(_resolve(_ruled(rest, STRONG + WEAK)))
+        rest = cut(_supported(_left_over(names_a, done, "a"), kin_a, _left_over(names_b, done, "b"), more))
+        tried.append(rest.where("form <> 'full'"))
+        new = cut(_resolve(_ruled(rest, rules)))
         passes.append(new)
         done = done.select("a", "b", "rule", "shared").unionByName(new)
     once = _once(names_a, names_b)
     open_ = once.join(done.select("a"), "a", "left_anti").join(done.select("b"), "b", "left_anti")
     passes.append(_resolve(open_))
     found = reduce(DataFrame.unionByName, [p.select("a", "b", "rule", "shared") for p in passes])
+    pairs = reduce(DataFrame.unionByName, tried).distinct()
     if labels is None:
-        labels = first_pairs.where("shared >= 3").select("a", "b").distinct()
-    rated = confidence(_trials(first_pairs, once), labels)
+        labels = pairs.where("shared >= 3").select("a", "b").distinct()
+    rated = confidence(_trials(pairs, once), labels)
     return found.join(F.broadcast(rated), "rule", "left").select("a", "b", F.element_at(F.array(*[F.lit(r) for r in ORDER]), F.col("rule") + 1).alias("rule"), "shared", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
 
 
