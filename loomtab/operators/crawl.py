@@ -25,10 +25,15 @@ def is_person(name: Column) -> Column:
     return name.rlike(PERSON)
 
 
+def links_flat(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, href), stripped; also over streams."""
+    got = pages.select(F.col(id_col).alias("page_id"), F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))).alias("href"))
+    return got.select("page_id", F.trim("href").alias("href"))
+
+
 def links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, href): stripped and distinct per page."""
-    got = pages.select(F.col(id_col).alias("page_id"), F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))).alias("href"))
-    return got.select("page_id", F.trim("href").alias("href")).distinct()
+    return links_flat(pages, id_col, html).distinct()
 
 
 def absolute(found: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtab.config import COL, DEFAULT, ENTITY, INFO, PROPERTY, TITLE, Config
 from loomtab.functions.names import clean_name, is_blank, person_name, relation_guard, triad_guard, without_remarks
 from loomtab.operators import tables as T
+from loomtab.session import cut
 
 KEYS = T.KEYS
 
@@ -97,6 +98,7 @@ def extract(cells: DataFrame, config: Config = DEFAULT, keys: Sequence[str] = KE
 
 def pipeline(cells: DataFrame, config: Config = DEFAULT, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Regular tables, turned so that headers stand in row 0, cleaned, and extracted."""
+    cells = cut(cells)  # read by every step; without it each would parse the pages again
     regular = cells.join(T.shapes(cells, keys).where("is_correct and is_normal").select(*keys), list(keys), "left_semi")
     side = T.direction(regular, keys)
     if "kind" in cells.columns:  # infoboxes are known to run by columns
@@ -104,4 +106,4 @@ def pipeline(cells: DataFrame, config: Config = DEFAULT, keys: Sequence[str] = K
         side = side.join(boxes, list(keys)).withColumn("direction", F.when(F.col("_box"), COL).otherwise(F.col("direction"))).drop("_box")
     t = regular.join(side, list(keys))
     turned = t.withColumn("_r", F.when(F.col("direction") == COL, F.col("col")).otherwise(F.col("row"))).withColumn("col", F.when(F.col("direction") == COL, F.col("row")).otherwise(F.col("col"))).withColumn("row", F.col("_r")).drop("_r", "direction")
-    return extract(T.clean(turned, config, keys), config, keys)
+    return extract(cut(T.clean(turned, config, keys)), config, keys)

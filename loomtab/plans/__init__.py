@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from loomtab.plans import records
+from loomtab.plans import records, reference
 
 
 def flagship(spark, d):
-    return records.p3_found(spark, d)
+    return reference.flagship(spark, d)
 
 
 def all_queries() -> dict:
-    return {**records.QUERIES}
+    return {**reference.Q, **records.QUERIES}
 
 
 def all_oracles() -> dict:
-    return {**records.ORACLE}
+    return {**reference.SQL, **records.ORACLE}
