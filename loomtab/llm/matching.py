@@ -51,8 +51,11 @@ _CLASS_OF = {w: k for k, ws in CLASSES.items() for w in ws}
 
 
 def relation_class(word: Column, inverse: bool = False) -> Column:
-    d = {w: INVERSE.get(k, k) if inverse else k for w, k in _CLASS_OF.items()}
-    return F.coalesce(_map(d)[F.regexp_replace(F.coalesce(word, F.lit("")), r"[^\p{L}]", "")], F.lit(""))
+    """The number of the class of a relation word; 0 for words of no class."""
+    at = list(CLASSES).index
+    d = {w: at(INVERSE.get(k, k) if inverse else k) + 1 for w, k in _CLASS_OF.items()}
+    numbers = F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return F.coalesce(numbers[F.regexp_replace(F.coalesce(word, F.lit("")), r"[^\p{L}]", "")], F.lit(0)).cast("byte")
 
 
 def name_key(name: Column) -> Column:
@@ -148,28 +151,32 @@ def _other_forms(key: Column) -> Column:
 
 
 def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """names(a, form, key) and kin(a, cls, who) of the source with attributes.
+    """names(a, form, key, own) and kin(a, cls, who) of the source with attributes; keys and names as 64-bit hashes.
 
     ``persons``: a, name; ``kin``: a, rel, who; ``aliases``: a, alias.
     """
     full = persons.select("a", name_key(F.col("name")).alias("k")).where("a is not null and k <> ''").distinct()
     other = aliases.select("a", name_key(F.col("alias")).alias("k")).where("a is not null and k <> ''").distinct().join(full, ["a", "k"], "left_anti")
-    names = full.select("a", F.inline(_forms(F.col("k"), "full"))).unionByName(other.select("a", F.inline(_forms(F.col("k"), "alias"))))
-    related = kin.select("a", relation_class(F.col("rel")).alias("cls"), name_key(F.col("who")).alias("who")).where("a is not null and who <> ''").distinct()
-    return names.distinct(), related
+    names = full.select("a", "k", F.inline(_forms(F.col("k"), "full"))).unionByName(other.select("a", "k", F.inline(_forms(F.col("k"), "alias"))))
+    related = kin.select("a", relation_class(F.col("rel")).alias("cls"), name_key(F.col("who")).alias("k")).where("a is not null and k <> ''")
+    return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")).distinct(), related.select("a", "cls", F.xxhash64("k").alias("who")).distinct()
 
 
 def source_b(statements: DataFrame, c0: str = "c0", rel: str = "c1", c2: str = "c2") -> tuple[DataFrame, DataFrame]:
-    """names(b, form, key) and kin(b, cls, who, no) of the source of (endpoint, relation, endpoint) statements."""
+    """names(b, form, key) and kin(b, cls, who, no) of the source of (endpoint, relation, endpoint) statements.
+
+    Both come from one checkpoint of the distinct (person, name, relation, related person).
+    """
     raw = _endpoints(statements, c0, rel, c2)
-    s = raw.select("n0", "i0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), "n2", "i2").distinct()
+    s = raw.select("n0", "i0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), "n2", "i2")
     both = s.select(F.explode(F.array(
         F.struct(F.col("i0").alias("b"), F.col("n0").alias("k"), F.col("r").alias("cls"), F.col("n2").alias("who"), F.col("i2").alias("no")),
         F.struct(F.col("i2").alias("b"), F.col("n2").alias("k"), F.col("back").alias("cls"), F.col("n0").alias("who"), F.col("i0").alias("no")),
-    )).alias("x")).select("x.*").where("b is not null").distinct()
+    )).alias("x")).select("x.*").where("b is not null")
+    both = both.select("b", "k", "cls", F.when(F.col("who") != "", F.xxhash64("who")).alias("who"), "no").distinct()
     both = cut(both)
-    names = both.where("k <> ''").select("b", "k").distinct().select("b", F.inline(_other_forms(F.col("k")))).distinct()
-    related = both.where("who <> '' and (no is null or no <> b)").select("b", "cls", "who", "no").distinct()
+    names = both.where("k <> ''").select("b", "k").distinct().select("b", F.inline(_other_forms(F.col("k")))).select("b", "form", F.xxhash64("key").alias("key")).distinct()
+    related = both.where("who is not null and (no is null or no <> b)").select("b", "cls", "who", "no")
     return names, related
 
 
@@ -181,11 +188,11 @@ ORDER = list(dict.fromkeys([r[0] for r in STRONG + WEAK] + ["full once", "alias
 
 def _supported(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataFrame) -> DataFrame:
     """(a, b, form, shared, roles) by exact joins on (key of the name, related person)."""
-    left = names_a.join(kin_a, "a").select("a", F.col("form").alias("fa"), "key", "who", "cls").distinct()
-    right = names_b.join(kin_b, "b").select("b", F.col("form").alias("fb"), "key", "who", F.col("cls").alias("cls_b")).distinct()
+    left = names_a.join(kin_a, "a").select("a", F.col("form").alias("fa"), "key", "who", "cls")
+    right = names_b.join(kin_b, "b").select("b", F.col("form").alias("fb"), "key", "who", F.col("cls").alias("cls_b"))
     met = left.join(right, ["key", "who"]).where("fa = fb or (fa = 'full' and fb = 'title') or (fa = 'alias' and fb in ('full', 'title'))")
     form = F.when(F.col("fa") == "alias", F.lit("alias")).otherwise(F.col("fb"))
-    each = met.groupBy("a", "b", form.alias("form"), "who").agg(F.max(F.when((F.col("cls") == F.col("cls_b")) & (F.col("cls") != ""), 1).otherwise(0)).alias("role"))
+    each = met.groupBy("a", "b", form.alias("form"), "who").agg(F.max(F.when((F.col("cls") == F.col("cls_b")) & (F.col("cls") > 0), 1).otherwise(0)).alias("role"))
     return each.groupBy("a", "b", "form").agg(F.count("who").alias("shared"), F.sum("role").alias("roles"))
 
 
@@ -227,17 +234,19 @@ def _once(names_a: DataFrame, names_b: DataFrame) -> DataFrame:
 
 def match(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(a, b, rule, shared, confidence). ``labels``: known pairs (a, b); none of their persons has another partner."""
-    names_a, kin_a, names_b, kin_b = (cut(t) for t in (names_a, kin_a, names_b, kin_b))
+    names_a, kin_a, names_b = (cut(t) for t in (names_a, kin_a, names_b))
     plain = kin_b.select("b", "cls", "who")
     whole = "form = 'full'"
     first_pairs = cut(_supported(names_a.where(whole), kin_a, names_b.where(whole), plain))
     done = cut(_resolve(_ruled(first_pairs, STRONG)))
     passes, tried = [done], [first_pairs]
     # from here on persons related are also known by the name that the first source has for them
-    full = names_a.where(whole).select("a", F.substring("key", 2, 1000).alias("who2"))
+    full = names_a.where(whole).select("a", F.col("own").alias("who2")).distinct()
+    kin_b = cut(kin_b.join(done.select("b"), "b", "left_anti").distinct())
+    plain = kin_b.select("b", "cls", "who")
     for rules in (STRONG, STRONG + WEAK, STRONG + WEAK):
         known = done.select("a", F.col("b").alias("no")).join(full, "a").select("no", "who2")
-        more = plain.unionByName(kin_b.where("no is not null").join(known, "no").select("b", "cls", F.col("who2").alias("who"))).distinct()
+        more = plain.unionByName(kin_b.where("no is not null").join(known, "no").select("b", "cls", F.col("who2").alias("who")))
         rest = cut(_supported(_left_over(names_a, done, "a"), kin_a, _left_over(names_b, done, "b"), more))
         tried.append(rest.where("form <> 'full'"))
         new = cut(_resolve(_ruled(rest, rules)))

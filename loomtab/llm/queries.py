@@ -14,16 +14,19 @@ from loomtab.session import cut, table
 #: Attributes of a person that name other persons, and those that name the person itself.
 KIN = ["父亲", "母亲", "养父", "养母", "妻子", "丈夫", "师父"]
 OWN_NAMES = r"^(?:别名|别称|字号|又名|本名|中文名|曾用名)(?:\[\d+\])?$"
+COMPANIONS = r"同僚\[\d+\]\.姓名$"
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of numbers with the rule that found them and its confidence."""
     flat = nested.flatten(table(spark, d, "entity_relationship"), "id", {"entity": "entity", "relationship": "relationship"})
-    flat = cut(flat.select(matching.number(F.col("url")).alias("a"), "kind", "name", "path", "value", "to_name").where("a is not null").distinct())
+    telling = (F.col("kind") != "string") | F.col("path").isin(KIN) | F.col("path").rlike(OWN_NAMES) | F.col("path").rlike(COMPANIONS)
+    flat = flat.where(telling & F.col("kind").isin("item", "relation", "string")).select(matching.number(F.col("url")).alias("a"), "kind", F.when(F.col("kind") == "item", F.col("name")).alias("name"), F.when(F.col("kind") == "string", F.col("path")).alias("path"), "value", "to_name")
+    flat = cut(flat.where("a is not null").distinct())
     persons = flat.where("kind = 'item'").select("a", "name")
     facts = flat.where("kind = 'string'")
     kin = flat.where("kind = 'relation'").select("a", F.col("value").alias("rel"), F.col("to_name").alias("who")).unionByName(facts.where(F.col("path").isin(KIN)).select("a", F.col("path").alias("rel"), F.col("value").alias("who")))
-    kin = kin.unionByName(facts.where(F.col("path").rlike(r"同僚\[\d+\]\.姓名$")).select("a", F.lit("同僚").alias("rel"), F.col("value").alias("who")))
+    kin = kin.unionByName(facts.where(F.col("path").rlike(COMPANIONS)).select("a", F.lit("同僚").alias("rel"), F.col("value").alias("who")))
     aliases = facts.where(F.col("path").rlike(OWN_NAMES)).select("a", F.explode(multivalue.items(F.col("value"))).alias("alias"))
     names_a, kin_a = matching.source_a(persons, kin, aliases)
     names_b, kin_b = matching.source_b(table(spark, d, "relation_triad"))
