@@ -215,7 +215,7 @@ def _subjects_of_topics(topics: np.ndarray, rows: DataFrame, names: list[str], t
     for k, row in enumerate(best):
         mean = share[row].mean(axis=0)
         j = int(mean.argmax())
-        if mean[j] >= max(0.35, 2.0 * prior[j]):
+        if mean[j] >= prior[j] + 0.25 * (1.0 - prior[j]):
             out[k] = j
     return out
 
