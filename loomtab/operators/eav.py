@@ -22,7 +22,7 @@ UNKNOWN = r"(?iU)^(?:[\W_]*|.*(?:不详|未知|待考|不明|无考|失考|未
 
 def attribute_key(c: Column) -> Column:
     """An attribute's name without white space, colons and footnote marks, in lower case."""
-    return F.lower(F.regexp_replace(no_space(no_footnotes(c)), "[:：]", ""))
+    return F.lower(F.translate(no_space(no_footnotes(c)), ":：", ""))
 
 
 def known(c: Column) -> Column:

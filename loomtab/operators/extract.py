@@ -98,7 +98,7 @@ def extract(cells: DataFrame, config: Config = DEFAULT, keys: Sequence[str] = KE
 
 def pipeline(cells: DataFrame, config: Config = DEFAULT, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Regular tables, turned so that headers stand in row 0, cleaned, and extracted."""
-    cells = cut(cells)  # read by every step; without it each would parse the pages again
+    cells = cut(cells.repartition(*keys))  # read by every step, and laid out for all of them; else each would parse the pages again
     regular = cells.join(T.shapes(cells, keys).where("is_correct and is_normal").select(*keys), list(keys), "left_semi")
     side = T.direction(regular, keys)
     if "kind" in cells.columns:  # infoboxes are known to run by columns
