@@ -19,13 +19,27 @@ def nodes_by_name(entities: DataFrame) -> DataFrame:
     return got.select("name", "prop", F.col("x.value").alias("value"))
 
 
+def _prefixes(url: Column) -> Column:
+    """An address and what it goes back to at its slashes, down to the blank one; without the scheme alone."""
+    parts = F.split(url, "/")
+    made = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.array_union(F.array(F.lit("")), F.filter(made, lambda x: ~x.rlike("^[a-z]+:/?$")))
+
+
 def canonical_urls(entities: DataFrame) -> DataFrame:
-    """(name, url, node_url): urls of a name of which one contains the other are one node, named by the earliest; a blank url belongs to the name's earliest."""
+    """(name, url, node_url): addresses of a name of which one goes on from the other are one node, named by the earliest; a blank address belongs to the name's earliest.
+
+    By equi-joins on (name, prefix): work grows with the number of addresses times their slashes, never with pairs of a name's addresses.
+    """
     first = entities.groupBy("name", "url").agg(F.min("seq").alias("seq"))
-    a, b = first.alias("a"), first.alias("b")
-    inside = (F.col("a.url") == F.col("b.url")) | (F.col("a.url") == "") | F.col("a.url").contains(F.col("b.url")) | F.col("b.url").contains(F.col("a.url"))
-    met = a.join(b, (F.col("a.name") == F.col("b.name")) & inside)
-    return met.groupBy(F.col("a.name").alias("name"), F.col("a.url").alias("url")).agg(F.min(F.struct(F.col("b.seq").alias("seq"), F.col("b.url").alias("url"))).alias("x")).select("name", "url", F.col("x.url").alias("node_url"))
+    best = F.min(F.struct("seq", F.col("node").alias("url")))
+    cut = first.where("url <> ''").select("name", F.col("url").alias("node"), "seq", F.explode(_prefixes(F.col("url"))).alias("url"))
+    longer = cut.groupBy("name", "url").agg(best.alias("x"))  # the earliest that goes on from each prefix
+    up = first.where("url <> ''").select("name", "url").join(longer, ["name", "url"])
+    shorter = first.select("name", F.col("url").alias("prefix"), F.struct("seq", "url").alias("x"))
+    down = cut.select("name", F.col("node").alias("url"), F.col("url").alias("prefix")).join(shorter, ["name", "prefix"]).select("name", "url", "x")
+    blank = first.where("url = ''").select("name", "url").join(first.groupBy("name").agg(F.min(F.struct("seq", "url")).alias("x")), "name").select("name", "url", "x")
+    return up.select("name", "url", "x").unionByName(down).unionByName(blank).groupBy("name", "url").agg(F.min("x").alias("x")).select("name", "url", F.col("x.url").alias("node_url"))
 
 
 def nodes_by_url(entities: DataFrame) -> DataFrame:

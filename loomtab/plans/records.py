@@ -67,3 +67,53 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_persons, p3_attributes, p3_relations, p4_found, p4_values, p5_found, p5_wide, p5_attributes)}
 ORACLE: dict[str, str] = {}
+
+# ---- SQL -------------------------------------------------------------------------------------------------------------
+_STRIP = r"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_NOTES = r"regexp_replace({c}, '[\[［]\s*\d+\s*[\]］]', '', 'g')"
+_KEY = r"lower(regexp_replace(" + _NOTES + r", '[\s\p{{Z}}:：]+', '', 'g'))"
+_SPAN = "《[^《》]*》|“[^“”]*”|「[^「」]*」|『[^『』]*』|‘[^‘’]*’|\"[^\"]*\""
+_DELIM = r"/／、,，;；|｜\s\p{Z}①-⑳⑴-⒇㈠-㈩"
+
+
+def _p4_sql() -> str:
+    """An item is a run of quoted spans and characters that don't delimit; spaces between Latin words are kept aside."""
+    kept = "value"
+    for _ in range(2):
+        kept = f"regexp_replace({kept}, '([A-Za-z.'']) +([A-Za-z])', '\\1' || chr(1) || '\\2', 'g')"
+    props = ", ".join(f"'{p}'" for p in LIST_PROPS)
+    quotes = "\"“”「」『』‘’"
+    item = f"regexp_replace(replace(x, chr(1), ' '), '^[{quotes}]*[\\s\\p{{Z}}]*[{quotes}]*|[{quotes}]*[\\s\\p{{Z}}]*[{quotes}]*$', '', 'g')"
+    return f"""WITH t AS (SELECT row_id, {kept} AS v FROM entity_triad WHERE {_KEY.format(c='prop')} IN ({props})),
+ i AS (SELECT row_id, list_filter(list_transform(regexp_extract_all(v, '《[^《》]*》|(?:“[^“”]*”|「[^「」]*」|『[^『』]*』|‘[^‘’]*’|"[^"]*"|[^《{_DELIM}])+'), lambda x: {_STRIP.format(c=item)}), lambda x: x <> '') AS items FROM t)
+ SELECT row_id, unnest(range(1, len(items) + 1)) AS pos, unnest(items) AS item FROM i WHERE len(items) >= 2"""
+
+
+def _p5_sql() -> str:
+    to = "CASE " + " ".join(f"WHEN k IN ({', '.join(repr(a) for a in names)}) THEN '{c}'" for c, (_, names) in PERSON.items()) + " END"
+    n = "lower(translate(regexp_replace(v, '[\\s\\p{Z}]+', '', 'g'), '０１２３４５６７８９．－／', '0123456789.-/'))"
+    d = "n"
+    for a, b in (
+        ("^公元([^前])", "\\1"), (r"^(\d{1,2})(?:st|nd|rd|th)?([a-z]{3})[a-z]*\.?,?(\d{1,4})$", r"\3-\2-\1"), (r"^([a-z]{3})[a-z]*\.?(\d{1,2}),(\d{1,4})$", r"\3-\1-\2"), (r"^(\d{4})(\d{2})(\d{2})$", r"\1-\2-\3"),
+        (r"([\d〇零一二三四五六七八九])年", r"\1-"), ("月份?", "-"), ("[日号]$", ""), ("[./]", "-"), ("-$", ""),
+    ):
+        d = f"regexp_replace({d}, '{a}', '{b}', 'g')"
+    months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+    part = "CASE WHEN x = '十' THEN '10' WHEN x[1] = '十' THEN '1' || x[2:] WHEN x[-1] = '十' THEN x[:-2] || '0' WHEN contains(x, '十') THEN replace(x, '十', '') " + " ".join(f"WHEN x = '{m}' THEN '{i}'" for i, m in enumerate(months, 1)) + " ELSE x END"
+    parts = f"list_transform(string_split({d}, '-'), lambda x: translate({part}, '〇零一二三四五六七八九', '00123456789'))"
+    num = "try_cast({} AS DOUBLE)"
+    cm = f"""CASE WHEN regexp_matches(n, '^\\d[米m]\\d{{2}}(?:厘米|公分|cm)?$') THEN n[1] || n[3:4] WHEN regexp_matches(n, '^\\d{{2,3}}(?:\\.\\d+)?(?:cm|厘米|公分)?$') THEN round({num.format("regexp_extract(n, '^[0-9.]+')")})::INT::VARCHAR
+ WHEN regexp_matches(n, '^\\d(?:\\.\\d+)?(?:m|米|公尺)$') THEN round({num.format("regexp_extract(n, '^[0-9.]+')")} * 100)::INT::VARCHAR WHEN regexp_matches(n, '^\\d{{3,4}}(?:mm|毫米)$') THEN round({num.format("regexp_extract(n, '^[0-9]+')")} / 10)::INT::VARCHAR END"""
+    kg = f"""CASE WHEN regexp_matches(n, '^\\d+(?:\\.\\d+)?(?:kg|kgs|千克|公斤)?$') THEN round({num.format("regexp_extract(n, '^[0-9.]+')")})::INT::VARCHAR WHEN regexp_matches(n, '^\\d+(?:\\.\\d+)?(?:斤|市斤)$') THEN round({num.format("regexp_extract(n, '^[0-9.]+')")} / 2)::INT::VARCHAR END"""
+    unknown = r"(?i)^(?:[^\p{L}\p{N}\p{M}]*|.*(?:不详|未知|待考|不明|无考|失考|未详|存疑)|none|null|nan|n/a|unknown|无|暂无)$"
+    return f"""WITH a AS (SELECT row_id, {_STRIP.format(c=_NOTES.format(c='name'))} AS name, {_KEY.format(c='prop')} AS k, {_STRIP.format(c=_NOTES.format(c='value'))} AS v FROM entity_triad),
+ b AS (SELECT row_id, name, {to} AS attr, v, {n} AS n FROM a WHERE name <> '' AND NOT regexp_matches(v, '{unknown}')),
+ c AS (SELECT *, CASE WHEN attr IN ('birth_date', 'death_date') THEN {parts} END AS p FROM b WHERE attr IS NOT NULL),
+ e AS (SELECT *, CASE WHEN len(p) BETWEEN 1 AND 3 AND regexp_matches(array_to_string(p, '-'), '^\\d{{1,4}}(?:-\\d{{1,2}}){{0,2}}$') THEN array_to_string(list_concat([lpad(p[1], 4, '0')], list_transform(p[2:], lambda x: lpad(x, 2, '0'))), '-') END AS d FROM c),
+ f AS (SELECT row_id, name, attr, CASE WHEN attr IN ('birth_date', 'death_date') THEN CASE WHEN try_cast(rpad(d, 10, '-01-01'[(11 - 10 + len(d) - 4) - 0:]) AS DATE) IS NOT NULL AND d[:4] <> '0000' THEN d END
+  WHEN attr = 'height_cm' THEN {cm} WHEN attr = 'weight_kg' THEN {kg} ELSE v END AS val FROM e)
+ SELECT name, attr, arg_min(val, row_id) AS val FROM f WHERE val IS NOT NULL GROUP BY 1, 2"""
+
+
+ORACLE["p4_found"] = _p4_sql()
+ORACLE["p5_found"] = _p5_sql().replace("rpad(d, 10, '-01-01'[(11 - 10 + len(d) - 4) - 0:])", "d || '-01-01'[len(d) - 3:]")
