@@ -14,11 +14,14 @@ Defined cases: null equals empty text; rows with equal ids are one row; an empty
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,37 @@ def endpoint_key(c: Column) -> Column:
     return F.concat(letters(F.regexp_replace(s, address, "")), F.lit("\x01"), letters(F.regexp_extract(s, f"({address})", 1)))
 
 
+_ADDRESS = re.compile(r"https?://[^\s'\"‘’“”|,，\[\]［］()（）]+")
+
+
+def _letters(s: str) -> str:
+    return "".join(c for c in s if c.isalnum() or unicodedata.category(c)[0] == "M") if not s.isalnum() else s
+
+
+def _endpoint(s: str | None) -> str:
+    s = (s or "").lower()
+    m = _ADDRESS.search(s)
+    return _letters(_ADDRESS.sub("", s)) + "\x01" + (_letters(m[0]) if m else "")
+
+
+def statements(df: DataFrame, id_col: str, c0: str, rel: str, c2: str) -> DataFrame:
+    """(id, key) with the canonical text of each (endpoint, relation, endpoint).
+
+    The same as :func:`endpoint_key` and :func:`letters`, but each different text of an Arrow batch is worked on once: the
+    endpoints of a hot person, a third of all perhaps, cost next to nothing.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            cols = []
+            for j, f in ((1, _endpoint), (2, lambda s: _letters((s or "").lower())), (3, _endpoint)):
+                d = pc.dictionary_encode(b.column(j), null_encoding="encode")
+                cols.append(pa.array([f(t) for t in d.dictionary.to_pylist()], pa.string()).take(d.indices))
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join_element_wise(*cols, "\x02")], ["id", "key"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(c0), F.col(rel), F.col(c2)).mapInArrow(run, "id long, key string")
+
+
 def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     mask = np.uint64(bits - 1)
     step = (h >> np.uint64(32)) | np.uint64(1)
@@ -110,7 +144,7 @@ def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
     parts = hashes.select("h").mapInArrow(build, "chunk int, once binary, again binary")
     merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, again binary")
     whole = bytearray(bits // 8)
-    for r in merged.toLocalIterator():  # as a whole no more than the bound of the filter
+    for r in merged.collect():  # as a whole no more than the bound of the filter
         whole[r["chunk"] * step : (r["chunk"] + 1) * step] = zlib.decompress(r["again"])
     return bytes(whole)
 

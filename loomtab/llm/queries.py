@@ -68,13 +68,13 @@ def _statement():
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return collapse.copies(table(spark, d, "relation_triad"), _statement(), "row_id")
+    return collapse.copies(collapse.statements(table(spark, d, "relation_triad"), "row_id", "c0", "c1", "c2"), F.col("key"), "id")
 
 
 def p7_records(spark: SparkSession, d: str) -> DataFrame:
     """One record for each statement, as in its earliest row, with its number of copies."""
     t = table(spark, d, "relation_triad")
-    kept = collapse.collapse(t, _statement(), "row_id")
+    kept = collapse.collapse(collapse.statements(t, "row_id", "c0", "c1", "c2"), F.col("key"), "id")
     return kept.join(t.select(F.col("row_id").alias("keep_id"), "c0", "c1", "c2"), "keep_id")
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -242,5 +243,8 @@ def error_report(found: DataFrame, pending: DataFrame, earlier: DataFrame, key:
     first = p.groupBy("k").agg(F.min("id").alias("first")).join(e.distinct().withColumn("old", F.lit(True)), "k", "full")
     exact = p.join(first, "k").where("old or id > first").select("id").distinct()
     wrong = exact.withColumn("x", F.lit(1)).join(found.distinct().withColumn("y", F.lit(1)), "id", "full").where("x is null or y is null").agg(F.count(F.lit(1)).alias("wrong_answers"))
-    sizes = first.agg(F.count(F.lit(1)).alias("stored_keys")).crossJoin(p.agg(F.count(F.lit(1)).alias("probes"))).crossJoin(found.agg(F.countDistinct("id").alias("seen")))
-    return sizes.crossJoin(wrong).select("probes", "seen", "stored_keys", "wrong_answers", (F.col("wrong_answers") / F.greatest("probes", F.lit(1))).alias("wrong_rate"), (F.col("stored_keys") / F.lit(2.0**64)).alias("expected_rate"))
+    one = F.count(F.lit(1))
+    parts = {"probes": p.agg(one.alias("probes")), "stored_keys": first.agg(one.alias("stored_keys")), "seen": found.agg(F.countDistinct("id").alias("seen")), "wrong_answers": wrong}
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts.values())
+    got = rows.agg(*[F.max(c).alias(c) for c in parts])
+    return got.select("probes", "seen", "stored_keys", "wrong_answers", (F.col("wrong_answers") / F.greatest("probes", F.lit(1))).alias("wrong_rate"), (F.col("stored_keys") / F.lit(2.0**64)).alias("expected_rate"))

@@ -301,3 +301,9 @@ def test_queries_with_sql(spark, data):
         names = [x[0] for x in rel.description]
         want = collections.Counter(tuple(r[names.index(k)] for k in cols) for r in rel.fetchall())
         assert collections.Counter(tuple(r[k] for k in cols) for r in df.collect()) == want, name
+
+
+def test_statement_keys_agree(spark, data):
+    t = spark.read.parquet(f"{data}/relation_triad.parquet")
+    fast = collapse.statements(t, "row_id", "c0", "c1", "c2")
+    assert fast.exceptAll(t.select("row_id", statement())).count() == 0
