@@ -79,3 +79,8 @@ def decode_bits(c: Column) -> Column:
 
 def url_decode(c: Column) -> Column:
     return decode_percent(c)
+
+
+def pretty_json(c: Column) -> Column:
+    """A map as indented JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))), {"pretty": "true"})

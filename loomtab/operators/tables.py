@@ -9,7 +9,7 @@ Empty inputs give empty results; null contents count as empty text; the header r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loomtab.config import COL, DEFAULT, ENTITY, INFO, OTHER, PROPERTY, ROW, TITLE, Config
 from loomtab.functions.celltypes import cell_type, type_distance
 from loomtab.functions.names import is_blank
+from loomtab.functions.words import word_score
 
 KEYS = ("table_id",)
 TEXTUAL = ("中文", "英文", "大写", "小写", "大小写混合", "字符类型", "超链接", "其他类型", "标点类型")
@@ -113,16 +114,23 @@ def type_feature(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return every.join(col, list(keys), "left").join(row, list(keys), "left").select(*keys, a.alias("row_type"), b.alias("col_type"))
 
 
-def direction(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, direction): header cells decide; otherwise the axis with the smaller mixed feature; ROW if equal."""
+def word_feature(cells: DataFrame, keys: Sequence[str] = KEYS, score: Callable[[Column], Column] = word_score) -> DataFrame:
+    return spread_feature(cells, score(F.col("content")), keys, "word")
+
+
+def direction(cells: DataFrame, keys: Sequence[str] = KEYS, score: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(keys, direction): header cells decide; otherwise the axis with the smaller mixed feature; if equal, by the word feature where a ``score`` is given; then ROW."""
     tags = cells.groupBy(*keys).agg(
         F.min(F.when(F.col("row") == 0, F.col("tag") == "th")).alias("_row_th"), F.min(F.when(F.col("col") == 0, F.col("tag") == "th")).alias("_col_th")
     )
     f = length_feature(cells, keys).join(type_feature(cells, keys), list(keys))
     row = F.round(0.5 * F.col("row_length") + 0.5 * F.col("row_type"), 12)
     col = F.round(0.5 * F.col("col_length") + 0.5 * F.col("col_type"), 12)
-    made = F.when(F.col("_row_th"), ROW).when(F.col("_col_th"), COL).when(row > col, COL).otherwise(ROW)
-    return tags.join(f, list(keys)).select(*keys, made.alias("direction"))
+    made = F.when(F.col("_row_th"), ROW).when(F.col("_col_th"), COL).when(row > col, COL)
+    if score is not None:
+        f = f.join(word_feature(cells, keys, score), list(keys))
+        made = made.when((row == col) & (F.round("row_word", 12) > F.round("col_word", 12)), COL)
+    return tags.join(f, list(keys)).select(*keys, made.otherwise(ROW).alias("direction"))
 
 
 # ---- headers and records ---------------------------------------------------------------------------------------------

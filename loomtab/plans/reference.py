@@ -16,7 +16,9 @@ from loomtab.functions import celltypes as C
 from loomtab.functions import names as N
 from loomtab.functions.text import ustrip
 from loomtab.functions.urls import decode_percent, last_segment
+from loomtab.functions.words import word_score
 from loomtab.operators import crawl, extract, graph, html, tables
+from loomtab.sources import sinks
 from loomtab.session import checkpoint_dir, table
 from loomtab.streaming import jobs
 
@@ -393,6 +395,19 @@ def f9_type_feature(spark, d):
     return tables.type_feature(plain_cells(spark, d)).select("table_id", F.round("row_type", 6).alias("row_type"), F.round("col_type", 6).alias("col_type"))
 
 
+_SCORE = """(len(regexp_extract_all({c}, '\\p{{Han}}+')) + 2 * len(regexp_extract_all({c}, '[A-Za-z]+')) + 3 * len(regexp_extract_all({c}, '[0-9]+')) + 4 * len(regexp_extract_all({c}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\s]+')))"""
+
+
+@query(f"SELECT row_id, {_SCORE.format(c='value')} AS score FROM entity_triad WHERE value IS NOT NULL")
+def f3_word_score(spark, d):
+    return table(spark, d, "entity_triad").where("value is not null").select("row_id", word_score(F.col("value")).cast("long").alias("score"))
+
+
+@query(_PLAIN + _FEATURE.format(t="plain").replace("length(content)", _SCORE.format(c="content")) + " SELECT table_id, round(row_length, 6) AS row_word, round(col_length, 6) AS col_word FROM lf")
+def f5_word_feature(spark, d):
+    return tables.word_feature(plain_cells(spark, d)).select("table_id", F.round("row_word", 6).alias("row_word"), F.round("col_word", 6).alias("col_word"))
+
+
 # ---- table algebra ---------------------------------------------------------------------------------------------------
 @query(_ROWS + " SELECT table_id, row, 0 AS col, v0 AS content FROM r UNION ALL SELECT table_id, row, 1, v0 FROM r UNION ALL SELECT a.table_id, a.row, 2, b.v1 FROM r a JOIN r b ON a.table_id = b.table_id AND b.row = a.row - (a.row - 1) % 3")
 def t1_expand_spans(spark, d):
@@ -600,6 +615,14 @@ def _with_head(cells: DataFrame) -> DataFrame:
 _XNAME = "replace(v0, '#', '')"
 
 
+@query(_KCELLS + """, p AS (SELECT table_id, row, kind, replace(content, '#', '') AS dst FROM kc WHERE kind IN (0, 1) AND row > 0 AND col = 0), v AS (SELECT table_id, row, content AS rel FROM kc WHERE col = 1)
+ SELECT table_id, row, '传主' AS src, CASE kind WHEN 0 THEN rel ELSE '妻妾' END AS rel, dst FROM p JOIN v USING (table_id, row)""")
+def e1_dispatch(spark, d):
+    """Relationships of tables of all kinds, each by the rule of its type."""
+    _, rels = extract.extract(_kind_cells(spark, d))
+    return rels.select("table_id", "row", "src", "rel", "dst")
+
+
 @query(_ROWS + f" SELECT table_id, row, {_XNAME} AS name, '' AS url, prop, value FROM (SELECT table_id, row, v0, '关系' AS prop, v1 AS value FROM r UNION ALL SELECT table_id, row, v0, '编号', v2 FROM r UNION ALL SELECT table_id, row, v0, '备注', v3 FROM r) WHERE value <> ''")
 def e2_entities_eav(spark, d):
     return extract.entities(cust_cells(spark, d))
@@ -868,6 +891,12 @@ def v3_recent_200(spark, d):
     return table(spark, d, "pending_url").select("id", "url").distinct().orderBy(F.desc("id")).limit(200)
 
 
+@query(_CELLS + """, l AS (SELECT table_id, row, '<tr>' || string_agg('<' || tag || '>' || content || '</' || tag || '>', '' ORDER BY col) || '</tr>' AS l FROM cells GROUP BY 1, 2)
+ SELECT table_id, '<table>' || string_agg(l, '' ORDER BY row) || '</table>' AS html FROM l GROUP BY 1""")
+def v4_render(spark, d):
+    return sinks.html_tables(cust_cells(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return e9_end_to_end(spark, d)
 

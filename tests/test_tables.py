@@ -39,6 +39,11 @@ def test_names(spark):
     assert spark.range(1).select(N.decode_bits(N.encode_bits(F.lit("aZ 9")))).first()[0] == "aZ 9"
 
 
+def test_pretty_json(spark):
+    got = spark.range(1).select(N.pretty_json(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")))).first()[0]
+    assert [x.strip() for x in got.splitlines()] == ["{", '"a" : "1",', '"b" : "2"', "}"]
+
+
 def test_page_keys(spark):
     same = ["http://A.com/x/1", "https://a.com:443/x/1/", " https://a.com/x/%31?q=1#f\n", "HTTP://a.com:80/x/1?"]
     other = ["https://a.com/X/1", "https://a.com:8080/x/1", "https://m.a.com/x/1", "https://a.com/x"]
