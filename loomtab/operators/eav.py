@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtab.functions.text import ascii_digits, clean, no_footnotes, no_space
+from loomtab.functions.text import BLANKS, clean, no_footnotes, no_space
 
-UNKNOWN = r"(?iU)^(?:[\W_]*|.*(?:不详|未知|待考|不明|无考|失考|未详|存疑)|none|null|nan|n/a|unknown|无|暂无)$"
+UNKNOWN = r"(?iU)^(?:[\W_]*|none|null|nan|n/a|unknown|无|暂无)$|(?:不详|未知|待考|不明|无考|失考|未详|存疑)$"
 
 
 def attribute_key(c: Column) -> Column:
@@ -36,31 +36,43 @@ def _let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+#: White space goes, full-width digits and separators become plain.
+_FROM, _TO = "０１２３４５６７８９．－／" + BLANKS, "0123456789.-/"
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _chain(v: Column, steps: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, to in steps:
+        v = F.regexp_replace(v, pattern, to)
+    return v
+
+
+def _english(v: Column) -> Column:
+    v = _chain(v, ((r"^(\d{1,2})(?:st|nd|rd|th)?([a-z]{3})[a-z]*\.?,?(\d{1,4})$", "$3-$2-$1"), (r"^([a-z]{3})[a-z]*\.?(\d{1,2}),(\d{1,4})$", "$3-$1-$2")))
+    for i, m in enumerate(_MONTHS, 1):
+        v = F.replace(v, F.lit(f"-{m}-"), F.lit(f"-{i}-"))
+    return v
+
+
+def _han(v: Column) -> Column:
+    """年, 月, 日 as separators; then numbers in characters, by place or with 十."""
+    v = _chain(v, ((r"^公元(?!前)", ""), (r"(?<=[\d〇零一二三四五六七八九])年|月份?", "-"), (r"[日号]$", ""), (r"-$", "")))
+    tens = ((r"(?<=-|^)十(?=-|$)", "10"), (r"(?<=-|^)十", "1"), (r"十(?=-|$)", "0"), (r"(?<=[二三])十", ""))
+    number = lambda x: F.translate(F.when(x.contains("十"), _chain(x, tens)).otherwise(x), "〇零一二三四五六七八九", "00123456789")
+    return _let(v, lambda x: F.when(x.rlike(r"^[\d-]+$"), x).otherwise(number(x)))
+
+
 def to_date_text(c: Column) -> Column:
     """'YYYY-MM-DD', 'YYYY-MM' or 'YYYY' of many notations; null if none fits or the date doesn't exist.
 
-    Every notation is rewritten to numbers joined by '-' in one chain, and the numbers are checked once.
+    Each notation is rewritten to numbers joined by '-' by its own steps, and the numbers are checked once.
     """
-    v = F.lower(ascii_digits(no_space(c)))
-    for pattern, to in (
-        (r"^公元(?!前)", ""),
-        (r"^(\d{1,2})(?:st|nd|rd|th)?([a-z]{3})[a-z]*\.?,?(\d{1,4})$", "$3-$2-$1"),  # 19 July 854
-        (r"^([a-z]{3})[a-z]*\.?(\d{1,2}),(\d{1,4})$", "$3-$1-$2"),  # July 19, 854
-        (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-        (r"(?<=[\d〇零一二三四五六七八九])年", "-"),
-        (r"月份?", "-"),
-        (r"[日号]$", ""),
-        (r"[./]", "-"),
-        (r"-$", ""),
-        (r"(?<=-|^)十(?=-|$)", "10"),
-        (r"(?<=-|^)十", "1"),
-        (r"十(?=-|$)", "0"),
-        (r"(?<=[二三])十", ""),
-    ):
-        v = F.regexp_replace(v, pattern, to)
-    v = F.translate(v, "〇零一二三四五六七八九", "00123456789")
-    for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1):
-        v = F.replace(v, F.lit(f"-{m}-"), F.lit(f"-{i}-"))
+
+    def plain(v: Column) -> Column:
+        digits = _chain(v, ((r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), (r"[./]", "-")))
+        return F.when(v.rlike("[a-z]"), _english(v)).when(v.rlike("[年月公]"), _han(v)).when(v.rlike(r"^\d"), digits)
+
+    v = _let(F.lower(F.translate(c, _FROM, _TO)), plain)
 
     def check(p: Column) -> Column:
         y, m, d = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))
@@ -69,26 +81,30 @@ def to_date_text(c: Column) -> Column:
         ok = (y > 0) & (m.isNull() | m.between(1, 12)) & (d.isNull() | d.between(1, days))
         return F.when(ok, F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")))
 
-    return _let(F.when(v.rlike(r"^\d{1,4}(?:-\d{1,2}){0,2}$"), F.transform(F.split(v, "-"), lambda x: x.cast("int"))), check)
+    return _let(v, lambda x: F.when(x.rlike(r"^\d{1,4}(?:-\d{1,2}){0,2}$"), _let(F.transform(F.split(x, "-"), lambda y: y.cast("int")), check)))
 
 
 def _measure(c: Column, units: list[tuple[str, float]], low: float, high: float) -> Column:
-    v = F.lower(ascii_digits(no_space(c)))
-    out = F.lit(None).cast("double")
-    for pattern, factor in reversed(units):
-        out = F.when(v.rlike(pattern), F.regexp_extract(v, pattern, 1).try_cast("double") * factor).otherwise(out)
-    return F.when(out.between(low, high), F.round(out).cast("int").cast("string"))
+    """Rounded number of the first unit that fits; c is in plain characters."""
+
+    def number(v: Column) -> Column:
+        out = F.lit(None).cast("double")
+        for pattern, factor in reversed(units):
+            out = F.when(v.rlike(pattern), F.regexp_extract(v, pattern, 1).try_cast("double") * factor).otherwise(out)
+        return F.when(v.rlike(r"^\d"), out)
+
+    return _let(_let(c, number), lambda x: F.when(x.between(low, high), F.round(x).cast("int").cast("string")))
 
 
 def to_cm(c: Column) -> Column:
-    v = F.lower(ascii_digits(no_space(c)))
+    v = F.lower(F.translate(c, _FROM, _TO))
     mixed = r"^(\d)(?:米|m)(\d{2})(?:厘米|公分|cm)?$"
-    plain = _measure(c, [(r"^(\d{2,3}(?:\.\d+)?)(?:cm|厘米|公分)?$", 1.0), (r"^(\d(?:\.\d+)?)(?:m|米|公尺)$", 100.0), (r"^(\d{3,4})(?:mm|毫米)$", 0.1)], 20, 300)
-    return F.when(v.rlike(mixed), F.concat(F.regexp_extract(v, mixed, 1), F.regexp_extract(v, mixed, 2))).otherwise(plain)
+    plain = lambda v: _measure(v, [(r"^(\d{2,3}(?:\.\d+)?)(?:cm|厘米|公分)?$", 1.0), (r"^(\d(?:\.\d+)?)(?:m|米|公尺)$", 100.0), (r"^(\d{3,4})(?:mm|毫米)$", 0.1)], 20, 300)
+    return _let(v, lambda x: F.when(x.rlike(mixed), F.concat(F.regexp_extract(x, mixed, 1), F.regexp_extract(x, mixed, 2))).otherwise(plain(x)))
 
 
 def to_kg(c: Column) -> Column:
-    return _measure(c, [(r"^(\d+(?:\.\d+)?)(?:kg|kgs|千克|公斤)?$", 1.0), (r"^(\d+(?:\.\d+)?)(?:斤|市斤)$", 0.5), (r"^(\d+(?:\.\d+)?)(?:g|克)$", 0.001)], 1, 700)
+    return _measure(F.lower(F.translate(c, _FROM, _TO)), [(r"^(\d+(?:\.\d+)?)(?:kg|kgs|千克|公斤)?$", 1.0), (r"^(\d+(?:\.\d+)?)(?:斤|市斤)$", 0.5), (r"^(\d+(?:\.\d+)?)(?:g|克)$", 0.001)], 1, 700)
 
 
 CASTS = {"date": to_date_text, "cm": to_cm, "kg": to_kg, "text": lambda c: c}
