@@ -8,7 +8,8 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Config:
     # fixed values: words that mark columns, captions and infoboxes of person tables, in order of priority
-    person_columns: tuple[str, ...] = ("姓名", "名字", "人物", "名称", "中文名", "成员", "本名", "名单", "人名")
+    person_columns: tuple[str, ...] = ("人名", "姓名", "本名", "中文名", "英文名", "演员名", "人员", "者", "导演")
+    # own default: headers of infoboxes; dictionary_union() adds those found in the data
     info_headers: tuple[str, ...] = ("中文名", "本名", "别名", "国籍", "民族", "出生地", "出生日期", "所处时代")
     relation_columns: tuple[str, ...] = ("关系", "称谓", "辈分", "亲属")
     caption_words: tuple[str, ...] = ("女", "兄", "弟", "妹", "友", "妻", "儿", "妃", "亲属", "家族")
