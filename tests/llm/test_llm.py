@@ -138,6 +138,17 @@ def test_leaks(spark):
     assert clean[1] == "前" * 30 + "后" * 30 and clean[11] == "" and clean[4] == docs[3][1] and clean[6] is None
 
 
+def test_leaks_with_many_changed_words(spark):
+    p, q = passage(120, 31), passage(60, 32)
+    form = lambda r: f"若论{passage(2, r)}，勤勉的{passage(3, r + 1)}未必居首；若论{passage(2, r + 2)}，则同时无人能及。"
+    items = [(1, p), (2, form(40) + q[:34])]
+    docs = [(k, "前" * 20 + "".join("错" if i % k == k - 1 else c for i, c in enumerate(p)) + "后" * 20) for k in (7, 9, 10)] + [(20, passage(99, 33) + form(50) + passage(99, 34)), (21, q[:34])]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["item_id"], r["doc_id"]) for r in leakage.leaks(d, i).collect()} == {(1, 7), (1, 9), (1, 10), (2, 21)}
+    clean = {r["doc_id"]: r["text"] for r in leakage.remove_spans(d, leakage.leaked_spans(d, i)).collect()}
+    assert all(len(clean[k]) < 45 and clean[k].startswith("前" * 20) for k in (7, 9, 10)) and clean[20] == docs[3][1]
+
+
 def test_token_hashes_ignore_layout():
     table = tokens.char_table({"國": "国"})
     t = tokens.Tokens(["Ab-c１ 中國，x", "AB\tC1　中国 X", "", None, "abc1中国x"], table)
