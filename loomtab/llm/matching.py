@@ -70,7 +70,7 @@ def number(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"/(\d+)/?\s*$", 1).try_cast("long")
 
 
-_BRACKETS, _ADDRESS, _NUMBER = re.compile(BRACKETS), re.compile(ADDRESS), re.compile(r"/(\d+)/?$")
+_BRACKETS, _ADDRESS, _NUMBER = re.compile(BRACKETS), re.compile(ADDRESS, re.IGNORECASE), re.compile(r"/(\d+)/?$")
 _OUTER = re.compile(r"^\s*[\[(［]\s*(?=['\"‘’“”])|(?<=['\"‘’“”])\s*[\])］]\s*$")
 _WORD = re.compile(r"[^\W_]+")
 

@@ -231,6 +231,11 @@ def test_endpoints():
     assert matching.endpoint("['B. Ab', '']", {}) == ("ab b", None) and matching.endpoint(None, {}) == ("", None)
 
 
+def test_endpoints_with_addresses_in_capitals():
+    for s in ("['甲', 'HTTPS://RENWU.EXAMPLE.ORG/ITEM/%E7/12']", "['Https://Renwu.example.org/item/%E7/12', '甲']"):
+        assert matching.endpoint(s, {}) == ("甲", 12)
+
+
 def _sources(spark):
     persons = [(1, "赵匡胤"), (2, "赵普"), (3, "钱俶 "), (4, "孙一二"), (5, "孙一二"), (6, "周七八"), (7, None)]
     kin = [(1, "父亲", "赵弘殷"), (1, "友人", "赵普"), (2, "友人", "赵匡胤"), (3, "妻子", "孙太真"), (3, "同僚", "李煜"), (4, "父亲", "孙大"), (4, "师父", "吴六"), (5, "父亲", "孙小"), (5, "师父", "郑五"), (6, "父亲", "周大"), (6, "好友", "吴六")]
