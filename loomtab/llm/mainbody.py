@@ -54,12 +54,10 @@ class Node:
 
 
 def unescape_at_rest(s: str) -> str:
-    for _ in range(4):
-        if _MARKUP.search(s, 0, 2000):
-            return s
+    while not _MARKUP.search(s):
         t = html.unescape(s)
         if t == s:
-            return s
+            break
         s = t
     return s
 

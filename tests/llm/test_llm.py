@@ -181,6 +181,17 @@ def test_main_body():
         mainbody.main_blocks(s)
 
 
+def test_unescaping_looks_at_the_whole_page():
+    import html
+
+    plain = "前言" * 1500 + "<p>&lt;p&gt;</p>"
+    assert mainbody.unescape_at_rest(plain) == plain
+    s = PAGE
+    for _ in range(7):
+        s = html.escape(s)
+    assert mainbody.unescape_at_rest(s) == PAGE and mainbody.unescape_at_rest("1 &lt; 2") == "1 < 2"
+
+
 def test_main_body_rows(spark):
     df = spark.createDataFrame([(1, PAGE), (1, PAGE), (2, None), (3, "")], "id long, html string").withColumn("text", F.lit(1))
     assert mainbody.blocks(df).groupBy("id").count().collect()[0]["count"] == 22
