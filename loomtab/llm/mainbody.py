@@ -44,12 +44,13 @@ _VISITOR = re.compile(r"(?i)cookie|您|本站|扫码|客户端|赞助播出|^广
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "links", "score", "spans")
+    __slots__ = ("tag", "parent", "kids", "chars", "links", "score", "texts", "body", "odd", "good")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent = tag, parent
         self.kids: list = []  # nodes, and texts as [text, linked characters, label is linked, number of inline pieces]
         self.chars = self.links = 0
+        self.texts = self.body = self.odd = self.good = 0  # texts inside, those not in headings, of them those like links or speakers, and paragraphs
         self.score = 0.0
 
 
@@ -140,31 +141,40 @@ def _points(t: list, tag: str) -> float:
     return 1.0 + len(_COMMA.findall(text)) + min(len(text) / 40.0, 3.0)
 
 
-def _measure(n: Node, depth: int = 0) -> None:
-    for k in n.kids:
-        if isinstance(k, Node):
-            if depth < 400:
-                _measure(k, depth + 1)
-            n.chars += k.chars
-            n.links += k.links
-        else:
-            n.chars += len(k[0])
-            n.links += k[1]
-            p = _points(k, n.tag)
-            if p:
-                # a paragraph's own tag isn't a container unless text stands in it beside other blocks
-                up = n if n.tag in BOXES and any(isinstance(x, Node) for x in n.kids) else n.parent
-                while up is not None and up.tag in ("ul", "ol", "li", "tr", "table", "dl", "dd", "p") and up.parent is not None:
-                    up = up.parent
-                share = 1.0
-                for _ in range(4):
-                    if up is None or not up.tag:
-                        break
-                    up.score += p * share
-                    share /= 2
+def _measure(root: Node) -> None:
+    """Points and counts of all nodes; pages may be nested to any depth, so there is no recursion here and below."""
+    for k, n in _texts(root):
+        n.chars += len(k[0])
+        n.links += k[1]
+        n.texts += 1
+        p = _points(k, n.tag)
+        if n.tag not in HEADINGS:
+            n.body += 1
+            n.odd += bool(_SPEAKER.match(k[0]) or (k[2] and _LABEL.match(k[0])) or k[1] * 2 > len(k[0]))
+            n.good += p > 0
+        if p:
+            # a paragraph's own tag isn't a container unless text stands in it beside other blocks
+            up = n if n.tag in BOXES and any(isinstance(x, Node) for x in n.kids) else n.parent
+            while up is not None and up.tag in ("ul", "ol", "li", "tr", "table", "dl", "dd", "p") and up.parent is not None:
+                up = up.parent
+            share = 1.0
+            for _ in range(4):
+                if up is None or not up.tag:
+                    break
+                up.score += p * share
+                share /= 2
+                up = up.parent
+                while up is not None and up.tag in ("ul", "ol", "li", "tr", "table", "dl", "dd"):
                     up = up.parent
-                    while up is not None and up.tag in ("ul", "ol", "li", "tr", "table", "dl", "dd"):
-                        up = up.parent
+    for n in reversed(list(_nodes(root))):
+        up = n.parent
+        if up is not None:
+            up.chars += n.chars
+            up.links += n.links
+            up.texts += n.texts
+            up.body += n.body
+            up.odd += n.odd
+            up.good += n.good
 
 
 def _value(n: Node) -> float:
@@ -179,12 +189,18 @@ def _nodes(n: Node) -> Iterator[Node]:
         stack.extend(k for k in reversed(x.kids) if isinstance(k, Node))
 
 
-def _texts(n: Node) -> Iterator[tuple[list, str]]:
-    for k in n.kids:
-        if isinstance(k, Node):
-            yield from _texts(k)
+def _texts(n: Node) -> Iterator[tuple[list, Node]]:
+    """The texts in order, each with the node that holds it."""
+    stack = [(n, iter(n.kids))]
+    while stack:
+        x, kids = stack[-1]
+        for k in kids:
+            if isinstance(k, Node):
+                stack.append((k, iter(k.kids)))
+                break
+            yield k, x
         else:
-            yield k, n.tag
+            stack.pop()
 
 
 def _furniture_text(t: list, tag: str) -> bool:
@@ -203,38 +219,40 @@ def _furniture(n: Node) -> bool:
     """A whole box that is a menu, a list of links, teasers or comments."""
     if n.tag in ("nav", "footer"):
         return True
-    texts = list(_texts(n))
-    if not texts:
+    if not n.texts:
         return True
     if n.tag == "dl" or n.tag == "table":
         return False
-    body = [(t, tag) for t, tag in texts if tag not in HEADINGS]
     if n.tag in ("ul", "ol"):
         return n.links * 2 > n.chars
-    if n.links * 2 > n.chars or not body:
+    if n.links * 2 > n.chars or not n.body:
         return True
-    odd = sum(1 for t, tag in body if _SPEAKER.match(t[0]) or (t[2] and _LABEL.match(t[0])) or t[1] * 2 > len(t[0]))
-    if odd * 2 > len(body):
+    if n.odd * 2 > n.body:
         return True
-    good = sum(1 for t, tag in body if _points(t, tag) > 0)
-    return n.tag == "aside" and good * 2 < len(body)
-
-
-def _keep(n: Node, out: list[str]) -> None:
-    for k in n.kids:
-        if isinstance(k, Node):
-            if k.tag in ("p", "div", "section", "article", "main", "aside", "header", "nav", "footer", "ul", "ol", "td", "body") or (k.tag == "table" and any(x.tag in ("p", "div", "section", "h1", "h2", "h3", "aside", "article") for x in _nodes(k))):
-                if k.tag != "table" and k.tag != "td" and _furniture(k):
-                    if not (k.tag in ("p", "div") and all(not isinstance(x, Node) for x in k.kids) and all(_points(t, k.tag) > 0 for t in k.kids)):
-                        continue
-            _keep(k, out)
-        elif n.tag in ("p", "div", "section", "article", "main", "aside", "header", "body", "td", "") and _furniture_text(k, n.tag) and n.tag != "td":
-            continue
-        elif n.tag == "title":
-            continue
+    return n.tag == "aside" and n.good * 2 < n.body
+
+
+def _keep(root: Node, out: list[str]) -> None:
+    stack = [(root, iter(root.kids))]
+    while stack:
+        n, kids = stack[-1]
+        for k in kids:
+            if isinstance(k, Node):
+                if k.tag in ("p", "div", "section", "article", "main", "aside", "header", "nav", "footer", "ul", "ol", "td", "body") or (k.tag == "table" and any(x.tag in ("p", "div", "section", "h1", "h2", "h3", "aside", "article") for x in _nodes(k))):
+                    if k.tag != "table" and k.tag != "td" and _furniture(k):
+                        if not (k.tag in ("p", "div") and all(not isinstance(x, Node) for x in k.kids) and all(_points(t, k.tag) > 0 for t in k.kids)):
+                            continue
+                stack.append((k, iter(k.kids)))
+                break
+            elif n.tag in ("p", "div", "section", "article", "main", "aside", "header", "body", "td", "") and _furniture_text(k, n.tag) and n.tag != "td":
+                continue
+            elif n.tag == "title":
+                continue
+            else:
+                if not _VISITOR.search(k[0]) or n.tag in ("dd", "td", "th"):
+                    out.append(k[0])
         else:
-            if not _VISITOR.search(k[0]) or n.tag in ("dd", "td", "th"):
-                out.append(k[0])
+            stack.pop()
 
 
 def main_blocks(page: str | None) -> list[str]:

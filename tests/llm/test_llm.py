@@ -181,6 +181,12 @@ def test_main_body():
         mainbody.main_blocks(s)
 
 
+def test_main_body_in_deep_nesting():
+    want = mainbody.main_blocks(PAGE)
+    for depth in (390, 500, 5000):
+        assert mainbody.main_blocks(PAGE.replace("<body>", "<body>" + "<div>" * depth)) == want
+
+
 def test_unescaping_looks_at_the_whole_page():
     import html
 
