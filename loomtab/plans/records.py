@@ -57,6 +57,11 @@ def p5_attributes(spark: SparkSession, d: str) -> DataFrame:
     return eav.discover(table(spark, d, "entity_triad"))
 
 
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """All attributes with the wide column each fills, those that fill none among them."""
+    return eav.report(table(spark, d, "entity_triad"), PERSON)
+
+
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return eav.widen(table(spark, d, "entity_triad"), PERSON)
 
@@ -65,7 +70,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return eav.cells(p5_wide(spark, d), list(PERSON))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_persons, p3_attributes, p3_relations, p4_found, p4_values, p5_found, p5_wide, p5_attributes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_persons, p3_attributes, p3_relations, p4_found, p4_values, p5_found, p5_wide, p5_attributes, p5_report)}
 ORACLE: dict[str, str] = {}
 
 # ---- SQL -------------------------------------------------------------------------------------------------------------

@@ -124,3 +124,10 @@ def test_wide_table(spark):
     kinds = {r["attr"]: r["type"] for r in eav.discover(df).collect()}
     assert kinds["体重"] == "kg" and kinds["籍贯"] == "text" and kinds["height"] == "cm"
     assert eav.widen(df.limit(0), spec).count() == 0
+
+
+def test_attributes_left_over_are_reported(spark):
+    rows = [(1, "甲", "身高", "170cm"), (2, "甲", "身髙", "171cm"), (3, "甲", "体重", "高大"), (4, "乙", "体重", "魁梧"), (5, "乙", "籍贯", "某地"), (6, "乙", " ", "x")]
+    df = spark.createDataFrame(rows, "row_id long, name string, prop string, value string")
+    got = {r["attr"]: (r["n"], r["type"], r["column"], r["status"]) for r in eav.report(df, {"height": ("cm", ["身高"]), "weight": ("kg", ["体重", "weight"])}).collect()}
+    assert got == {"身高": (1, "cm", "height", "mapped"), "身髙": (1, "cm", None, "unmapped"), "体重": (2, "text", "weight", "other type"), "籍贯": (1, "text", None, "unmapped"), "weight": (None, None, "weight", "absent")}
