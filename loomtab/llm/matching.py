@@ -4,7 +4,8 @@ Both sources become two narrow tables each: *names* (number, form, key) and *kin
 of the other person). A rule joins the sources exactly on a form of the name together with the name of a person
 related to both; a pair is resolved if it is the only best one for either side. Resolved persons are anti-joined, and
 the next pass uses weaker forms of the name, fewer shared persons, and the names which already resolved persons
-have in the other source. The last pass takes names that occur once in either source.
+have in the other source. The last pass takes names that occur once in either source, first together with a remark in
+brackets (courtesy name, place, dynasty) that is a fact of the person in the other source.
 
 The confidence of a pair is the precision of its rule on labelled persons, smoothed by one right and one wrong case.
 Labels may be given; otherwise those pairs serve that share a name in some form and at least three related persons; each
@@ -73,10 +74,16 @@ def number(url: Column) -> Column:
 _BRACKETS, _ADDRESS, _NUMBER = re.compile(BRACKETS), re.compile(ADDRESS, re.IGNORECASE), re.compile(r"/(\d+)/?$")
 _OUTER = re.compile(r"^\s*[\[(［]\s*(?=['\"‘’“”])|(?<=['\"‘’“”])\s*[\])］]\s*$")
 _WORD = re.compile(r"[^\W_]+")
+_REMARK = re.compile("^字|人$")  # 字 with a courtesy name, X人 with a place or dynasty
 
 
 def endpoint(s: str | None, simple: dict[int, str]) -> tuple[str, int | None]:
     """(key of the name, number) of an endpoint text with name and address in either order and any quotation."""
+    return _parsed(s, simple)[:2]
+
+
+def _parsed(s: str | None, simple: dict[int, str]) -> tuple[str, int | None, list[str]]:
+    """(key of the name, number, remarks in brackets) of an endpoint text."""
     s = s or ""
     m = _ADDRESS.search(s)
     n = _NUMBER.search(m[0]) if m else None
@@ -86,11 +93,12 @@ def endpoint(s: str | None, simple: dict[int, str]) -> tuple[str, int | None]:
     key = "".join(words)
     if any("a" <= c <= "z" for c in key):
         key = " ".join(sorted(words))
-    return key, int(n[1]) if n and len(n[1]) < 19 else None
+    remarks = {_REMARK.sub("", "".join(_WORD.findall(x[1:-1].translate(simple).lower()))) for x in _BRACKETS.findall(name)}
+    return key, int(n[1]) if n and len(n[1]) < 19 else None, sorted(x for x in remarks if x and not x.isdigit())
 
 
 def _endpoints(statements: DataFrame, c0: str, rel: str, c2: str) -> DataFrame:
-    """(n0, i0, rel, n2, i2). In a batch each different text is parsed once, so that a hot person costs little."""
+    """(n0, i0, m0, rel, n2, i2, m2), m the remarks at a name. In a batch each different text is parsed once, so that a hot person costs little."""
     simple = {ord(a): b for a, b in simplify_map(statements.sparkSession).items()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +106,12 @@ def _endpoints(statements: DataFrame, c0: str, rel: str, c2: str) -> DataFrame:
             cols = []
             for j in (0, 2):
                 d = pc.dictionary_encode(b.column(j), null_encoding="encode")
-                got = [endpoint(t, simple) for t in d.dictionary.to_pylist()]
+                got = [_parsed(t, simple) for t in d.dictionary.to_pylist()]
                 at = d.indices
-                cols += [pa.array([g[0] for g in got], pa.string()).take(at), pa.array([g[1] for g in got], pa.int64()).take(at)]
-            yield pa.RecordBatch.from_arrays([cols[0], cols[1], b.column(1), cols[2], cols[3]], ["n0", "i0", "rel", "n2", "i2"])
+                cols += [pa.array([g[0] for g in got], pa.string()).take(at), pa.array([g[1] for g in got], pa.int64()).take(at), pa.array([g[2] for g in got], pa.list_(pa.string())).take(at)]
+            yield pa.RecordBatch.from_arrays([*cols[:3], b.column(1), *cols[3:]], ["n0", "i0", "m0", "rel", "n2", "i2", "m2"])
 
-    return statements.select(F.col(c0), F.col(rel), F.col(c2)).mapInArrow(run, "n0 string, i0 long, rel string, n2 string, i2 long")
+    return statements.select(F.col(c0), F.col(rel), F.col(c2)).mapInArrow(run, "n0 string, i0 long, m0 array<string>, rel string, n2 string, i2 long, m2 array<string>")
 
 
 def _forms(key: Column, kind: str) -> Column:
@@ -150,14 +158,22 @@ def _other_forms(key: Column) -> Column:
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
-def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _remarked(k: Column, remark: Column) -> Column:
+    return F.concat(F.lit("R"), k, F.lit("\x01"), remark)
+
+
+def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame, remarks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """names(a, form, key, own) and kin(a, cls, who) of the source with attributes; keys and names as 64-bit hashes.
 
-    ``persons``: a, name; ``kin``: a, rel, who; ``aliases``: a, alias.
+    ``persons``: a, name; ``kin``: a, rel, who; ``aliases``: a, alias;
+    ``remarks``: a, remark, facts that the other source puts in brackets beside a name.
     """
     full = persons.select("a", name_key(F.col("name")).alias("k")).where("a is not null and k <> ''").distinct()
     other = aliases.select("a", name_key(F.col("alias")).alias("k")).where("a is not null and k <> ''").distinct().join(full, ["a", "k"], "left_anti")
     names = full.select("a", "k", F.inline(_forms(F.col("k"), "full"))).unionByName(other.select("a", "k", F.inline(_forms(F.col("k"), "alias"))))
+    if remarks is not None:
+        known = remarks.select("a", name_key(F.col("remark")).alias("m")).where("a is not null and m <> ''").distinct()
+        names = names.unionByName(full.join(known, "a").select("a", "k", F.lit("remark").alias("form"), _remarked(F.col("k"), F.col("m")).alias("key")))
     related = kin.select("a", relation_class(F.col("rel")).alias("cls"), name_key(F.col("who")).alias("k")).where("a is not null and k <> ''")
     return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")).distinct(), related.select("a", "cls", F.xxhash64("k").alias("who")).distinct()
 
@@ -168,14 +184,16 @@ def source_b(statements: DataFrame, c0: str = "c0", rel: str = "c1", c2: str = "
     Both come from one checkpoint of the distinct (person, name, relation, related person).
     """
     raw = _endpoints(statements, c0, rel, c2)
-    s = raw.select("n0", "i0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), "n2", "i2")
+    s = raw.select("n0", "i0", "m0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), "n2", "i2", "m2")
     both = s.select(F.explode(F.array(
-        F.struct(F.col("i0").alias("b"), F.col("n0").alias("k"), F.col("r").alias("cls"), F.col("n2").alias("who"), F.col("i2").alias("no")),
-        F.struct(F.col("i2").alias("b"), F.col("n2").alias("k"), F.col("back").alias("cls"), F.col("n0").alias("who"), F.col("i0").alias("no")),
+        F.struct(F.col("i0").alias("b"), F.col("n0").alias("k"), F.col("r").alias("cls"), F.col("n2").alias("who"), F.col("i2").alias("no"), F.col("m0").alias("m")),
+        F.struct(F.col("i2").alias("b"), F.col("n2").alias("k"), F.col("back").alias("cls"), F.col("n0").alias("who"), F.col("i0").alias("no"), F.col("m2").alias("m")),
     )).alias("x")).select("x.*").where("b is not null")
-    both = both.select("b", "k", "cls", F.when(F.col("who") != "", F.xxhash64("who")).alias("who"), "no").distinct()
+    both = both.select("b", "k", "cls", F.when(F.col("who") != "", F.xxhash64("who")).alias("who"), "no", "m").distinct()
     both = cut(both)
     names = both.where("k <> ''").select("b", "k").distinct().select("b", F.inline(_other_forms(F.col("k")))).select("b", "form", F.xxhash64("key").alias("key")).distinct()
+    remarked = both.where("k <> '' and size(m) > 0").select("b", "k", F.explode("m").alias("m"))
+    names = names.unionByName(remarked.select("b", F.lit("remark").alias("form"), F.xxhash64(_remarked(F.col("k"), F.col("m"))).alias("key")).distinct())
     related = both.where("who is not null and (no is null or no <> b)").select("b", "cls", "who", "no")
     return names, related
 
@@ -183,13 +201,13 @@ def source_b(statements: DataFrame, c0: str = "c0", rel: str = "c1", c2: str = "
 #: Rules in the order of the cascade: (name, form of the name, least shared persons, least with the same relation).
 STRONG = [("full+2", "full", 2, 0), ("full+1 role", "full", 1, 1), ("full+1", "full", 1, 0), ("alias+2", "alias", 2, 0), ("title+2", "title", 2, 0), ("given+2", "given", 2, 1), ("initial+2", "initial", 2, 0), ("slip+2", "slip", 2, 1), ("clan+3", "clan", 3, 2)]
 WEAK = [("full+2", "full", 2, 0), ("full+1 role", "full", 1, 1), ("full+1", "full", 1, 0), ("alias+1", "alias", 1, 0), ("title+1", "title", 1, 0), ("given+1", "given", 1, 1), ("initial+1", "initial", 1, 0), ("slip+1", "slip", 1, 1), ("clan+2", "clan", 2, 2)]
-ORDER = list(dict.fromkeys([r[0] for r in STRONG + WEAK] + ["full once", "alias once", "title once"]))
+ORDER = list(dict.fromkeys([r[0] for r in STRONG + WEAK] + ["remark once", "full once", "alias once", "title once"]))
 
 
 def _supported(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataFrame) -> DataFrame:
     """(a, b, form, shared, roles) by exact joins on (key of the name, related person)."""
-    left = names_a.join(kin_a, "a").select("a", F.col("form").alias("fa"), "key", "who", "cls")
-    right = names_b.join(kin_b, "b").select("b", F.col("form").alias("fb"), "key", "who", F.col("cls").alias("cls_b"))
+    left = names_a.where("form <> 'remark'").join(kin_a, "a").select("a", F.col("form").alias("fa"), "key", "who", "cls")
+    right = names_b.where("form <> 'remark'").join(kin_b, "b").select("b", F.col("form").alias("fb"), "key", "who", F.col("cls").alias("cls_b"))
     met = left.join(right, ["key", "who"]).where("fa = fb or (fa = 'full' and fb = 'title') or (fa = 'alias' and fb in ('full', 'title'))")
     form = F.when(F.col("fa") == "alias", F.lit("alias")).otherwise(F.col("fb"))
     each = met.groupBy("a", "b", form.alias("form"), "who").agg(F.max(F.when((F.col("cls") == F.col("cls_b")) & (F.col("cls") > 0), 1).otherwise(0)).alias("role"))
@@ -220,14 +238,15 @@ def _left_over(names: DataFrame, done: DataFrame, side: str) -> DataFrame:
 
 
 def _once(names_a: DataFrame, names_b: DataFrame) -> DataFrame:
-    """Pairs whose name occurs once in either source (among all persons, resolved or not)."""
+    """Pairs whose name, or name with a remark, occurs once in either source (among all persons, resolved or not)."""
     def single(names: DataFrame, side: str, forms: list[str], out: str) -> DataFrame:
         got = names.where(F.col("form").isin(forms)).groupBy("key").agg(F.countDistinct(side).alias("n"), F.min(side).alias(side))
         return got.where("n = 1").select("key", side, F.lit(out).alias(f"form_{side}"))
 
     fa, aa = single(names_a, "a", ["full"], "full"), single(names_a, "a", ["full", "alias"], "alias")
     fb, tb = single(names_b, "b", ["full"], "full"), single(names_b, "b", ["full", "title"], "title")
-    made = [fa.join(fb, "key").withColumn("r", F.lit("full once")), aa.join(fb, "key").withColumn("r", F.lit("alias once")), fa.join(tb, "key").withColumn("r", F.lit("title once"))]
+    ra, rb = single(names_a, "a", ["remark"], "remark"), single(names_b, "b", ["remark"], "remark")
+    made = [ra.join(rb, "key").withColumn("r", F.lit("remark once")), fa.join(fb, "key").withColumn("r", F.lit("full once")), aa.join(fb, "key").withColumn("r", F.lit("alias once")), fa.join(tb, "key").withColumn("r", F.lit("title once"))]
     rule = _map({n: str(i) for i, n in enumerate(ORDER)})[F.col("r")].cast("int")
     return reduce(DataFrame.unionByName, [m.select("a", "b", rule.alias("rule"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("roles")) for m in made])
 

@@ -278,6 +278,16 @@ def test_matching(spark):
     assert rated["full+2"] > 0.5
 
 
+def test_remarks_tell_namesakes_apart(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    persons, facts = make([(1, "孙一二"), (2, "孙一二"), (3, "周七")], "a long, name string"), make([(1, "岚州"), (2, "楮州"), (2, "东汐"), (3, "岚州")], "a long, remark string")
+    e = lambda n, i: f"['{n}', 'https://x/item/{i}']"
+    rows = [(e("孙一二（岚州人）", 11), "友人", e("孙一二[东汐]", 12)), (e("孙一二", 12), "友人", e("孙一二（大棠人）", 13))]
+    na, ka = matching.source_a(persons, make([], "a long, rel string, who string"), make([], "a long, alias string"), facts)
+    nb, kb = matching.source_b(make(rows, "c0 string, c1 string, c2 string"))
+    assert {(r["a"], r["b"], r["rule"]) for r in matching.match(na, ka, nb, kb).collect()} == {(1, 11, "remark once"), (2, 12, "remark once")}
+
+
 # ---- topics ----------------------------------------------------------------------------------------------------------
 def corpus(n=160):
     words = {"law": "契约 判词 诉状 陪审 法典 仲裁 赦令 刑名 讼狱 律例".split(), "art": "壁画 书法 琴谱 戏台 篆刻 装裱 画院 水墨 雕塑 版画".split(), "sport": "马球 决赛 锦标 球门 裁判 摔角 竞渡 长跑 蹴鞠 积分".split()}
