@@ -6,9 +6,10 @@
    from the ratings (one per subject) and from noise (background topics), so that wrong ratings are washed out.
 2. *Map*: a topic gets the subject whose rated documents hold its top terms most above chance; topics without such a
    subject are background. :func:`topic_table` shows topics, subjects and top terms for inspection.
-3. *Assign*: every document is read once. Each sentence's topic proportions follow from its words; the document's
-   proportion of a subject is the share of its sentences in topics of that subject. A subject is assigned from
-   ``least_share`` of the sentences on, if at least ``least_sentences`` sentences are about it.
+3. *Assign*: every document is read once. No topics are inferred here: the words of a sentence vote, each with its
+   probabilities of the subjects, and a sentence is about one subject at most, that with enough of the votes; the
+   document's share of a subject is its share of the sentences. A subject is assigned from ``least_share`` of the
+   sentences on, if at least ``least_sentences`` sentences are about it.
 
 Bounds: the broadcast model has at most ``max_terms`` words times the number of topics, whatever the size of the corpus.
 
