@@ -19,3 +19,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = F.broadcast(groups.where(F.col(size) > limit))
     cold = groups.where(F.col(size) <= limit)
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(groups.where(F.col(size) > limit).select(key)), key, "left_anti").join(cold, key))
+
+
+def hot_keys(rows: DataFrame, key: str, least: int = 10_000) -> DataFrame:
+    """The keys with more than ``max(least, rows / HOT)`` rows each, fewer than HOT by counting, as a table made on the driver."""
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    big = sizes.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(HOT).collect()  # below HOT rows reach the limit set next
+    limit = max(least, rows.count() // HOT) if big else least
+    return rows.sparkSession.createDataFrame([(r[0],) for r in big if r["_n"] > limit], rows.select(key).schema)
+
+
+def join_unique(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` ⋈ ``lookup`` on ``key``, where ``lookup`` has a key once; rows of the keys in ``hot`` stay where they are.
+
+    ``hot`` comes from :func:`hot_keys`, so that the part of ``lookup`` that is sent to all tasks has fewer than HOT rows.
+    """
+    few = [r[0] for r in hot.collect()]
+    if not few:
+        return rows.join(lookup, key)
+    is_hot = F.col(key).isin(few)
+    return rows.where(is_hot).join(F.broadcast(lookup.where(is_hot)), key).unionByName(rows.where(~is_hot).join(lookup, key))
