@@ -1,21 +1,26 @@
 """Matching entities across sources without keys: a deterministic cascade of exact joins.
 
-Both sources become two narrow tables each: *names* (number, form, key) and *kin* (number, class of the relation, name
-of the other person). A rule joins the sources exactly on a form of the name together with the name of a person
-related to both; a pair is resolved if it is the only best one for either side. Resolved persons are anti-joined, and
-the next pass uses weaker forms of the name, fewer shared persons, and the names which already resolved persons
-have in the other source. The last pass takes names that occur once in either source, first together with a remark in
-brackets (courtesy name, place, dynasty) that is a fact of the person in the other source.
+Both sources become two narrow tables each: *names* (number, form, key) and *kin* (number, own name as it stands there,
+class of the relation, name and number of the other person). A rule of the cascade is one exact join of the persons
+left over in either source, on a 64-bit hash of (form of the name, name of a related person). A key that two left-over persons of
+one source share tells nothing and is left out before the join, so that each side has a key once and a join can't
+grow beyond its input, whatever is hot. A pair with enough keys in common is resolved if it is the only best one for
+either side; resolved persons are anti-joined before the next rule. The rules go from whole names over aliases, names
+without title, given names, initials and slips to clan names; then the same again with fewer related persons, in which
+a related person is also known by the name that a resolved person has in the other source, until a pass resolves
+nothing. At last come names that occur once in either source, first together with a remark in brackets (courtesy name, place,
+dynasty) that is a fact of the person in the other source.
 
 The confidence of a pair is the precision of its rule on labelled persons, smoothed by one right and one wrong case.
-Labels may be given; otherwise those pairs serve that share a name in some form and at least three related persons; each
-rule is tried on these persons on its own, as if nothing else were known of them.
+Labels may be given. Otherwise they come from :func:`structural_labels`, which doesn't look at the labelled persons'
+names at all: if a pair of other persons is resolved, and each of the two has one numbered father (or mother) only, these
+two parents are one person.
 
-Name, kin and pair tables hold a few rows a person, whatever the number of statements about a person: they are made by
-``distinct``, which combines before it shuffles. No join is on a name alone unless that name occurs once.
+Hot persons: a person with a third of all statements has them spread by the hash of (name, related person); where rows are
+joined on a person's number, persons with more than a thousandth of all rows are joined by broadcast (:mod:`~loomtab.operators.skew`).
 
 Defined cases: null or blank names and addresses give no person; a person related to itself is ignored; repeated rows
-count once; ties resolve nothing; empty tables give no pair.
+count once; ties resolve nothing; empty tables give no pair; columns that aren't named are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, repeat
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtab.functions.script import simplify, simplify_map
+from loomtab.operators.skew import hot_keys, join_unique
 from loomtab.session import cut
 
 BRACKETS = r"[(（\[［【〔<〈].*?[)）\]］】〕>〉]"
@@ -162,10 +169,29 @@ def _remarked(k: Column, remark: Column) -> Column:
     return F.concat(F.lit("R"), k, F.lit("\x01"), remark)
 
 
+#: Relations in which a person has one other person only; the number of a word is its place from 1, 0 stands for all others.
+SINGLE = ("父亲", "母亲")
+
+
+def _plain_word(word: Column) -> Column:
+    return F.regexp_replace(F.coalesce(word, F.lit("")), r"[^\p{L}]", "")
+
+
+def _single(word: Column) -> Column:
+    w = _plain_word(word)
+    return reduce(lambda out, k: F.when(w == SINGLE[k], k + 1).otherwise(out), range(len(SINGLE)), F.lit(0)).cast("byte")
+
+
+def _whole(key: Column) -> Column:
+    """Hash of a whole name, as the names' keys of that form."""
+    return F.xxhash64(F.concat(F.lit("F"), key))
+
+
 def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame, remarks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """names(a, form, key, own) and kin(a, cls, who) of the source with attributes; keys and names as 64-bit hashes.
+    """names(a, form, key, own) and kin(a, own, cls, word, who, no) of the source with attributes; keys and names as 64-bit hashes.
 
-    ``persons``: a, name; ``kin``: a, rel, who; ``aliases``: a, alias;
+    ``persons``: a, name; ``kin``: a, rel, who, and perhaps name (the person's own, as it stands beside the relation)
+    and no (the other person's number); ``aliases``: a, alias;
     ``remarks``: a, remark, facts that the other source puts in brackets beside a name.
     """
     full = persons.select("a", name_key(F.col("name")).alias("k")).where("a is not null and k <> ''").distinct()
@@ -174,128 +200,183 @@ def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame, remarks: Da
     if remarks is not None:
         known = remarks.select("a", name_key(F.col("remark")).alias("m")).where("a is not null and m <> ''").distinct()
         names = names.unionByName(full.join(known, "a").select("a", "k", F.lit("remark").alias("form"), _remarked(F.col("k"), F.col("m")).alias("key")))
-    related = kin.select("a", relation_class(F.col("rel")).alias("cls"), name_key(F.col("who")).alias("k")).where("a is not null and k <> ''")
-    return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")).distinct(), related.select("a", "cls", F.xxhash64("k").alias("who")).distinct()
+    own = _whole(name_key(F.col("name"))) if "name" in kin.columns else F.lit(None).cast("long")
+    no = F.col("no") if "no" in kin.columns else F.lit(None).cast("long")
+    related = kin.select("a", own.alias("own"), relation_class(F.col("rel")).alias("cls"), _single(F.col("rel")).alias("word"), name_key(F.col("who")).alias("k"), no.alias("no")).where("a is not null and k <> '' and (no is null or no <> a)")
+    return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")).distinct(), related.withColumn("who", F.xxhash64("k")).drop("k")
 
 
 def source_b(statements: DataFrame, c0: str = "c0", rel: str = "c1", c2: str = "c2") -> tuple[DataFrame, DataFrame]:
-    """names(b, form, key) and kin(b, cls, who, no) of the source of (endpoint, relation, endpoint) statements.
+    """names(b, form, key) and kin(b, own, cls, word, who, no) of the source of (endpoint, relation, endpoint) statements.
 
-    Both come from one checkpoint of the distinct (person, name, relation, related person).
+    Both come from one table of (person, name, relation, related person), written once without a shuffle.
     """
     raw = _endpoints(statements, c0, rel, c2)
-    s = raw.select("n0", "i0", "m0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), "n2", "i2", "m2")
+    s = raw.select("n0", "i0", "m0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), _single(F.col("rel")).alias("w"), "n2", "i2", "m2")
     both = s.select(F.explode(F.array(
-        F.struct(F.col("i0").alias("b"), F.col("n0").alias("k"), F.col("r").alias("cls"), F.col("n2").alias("who"), F.col("i2").alias("no"), F.col("m0").alias("m")),
-        F.struct(F.col("i2").alias("b"), F.col("n2").alias("k"), F.col("back").alias("cls"), F.col("n0").alias("who"), F.col("i0").alias("no"), F.col("m2").alias("m")),
+        F.struct(F.col("i0").alias("b"), F.col("n0").alias("k"), F.col("r").alias("cls"), F.col("w").alias("word"), F.col("n2").alias("who"), F.col("i2").alias("no"), F.col("m0").alias("m")),
+        F.struct(F.col("i2").alias("b"), F.col("n2").alias("k"), F.col("back").alias("cls"), F.lit(0).cast("byte").alias("word"), F.col("n0").alias("who"), F.col("i0").alias("no"), F.col("m2").alias("m")),
     )).alias("x")).select("x.*").where("b is not null")
-    both = both.select("b", "k", "cls", F.when(F.col("who") != "", F.xxhash64("who")).alias("who"), "no", "m").distinct()
-    both = cut(both)
+    both = cut(both.select("b", "k", F.when(F.col("k") != "", _whole(F.col("k"))).alias("own"), "cls", "word", F.when(F.col("who") != "", F.xxhash64("who")).alias("who"), "no", "m"))
     names = both.where("k <> ''").select("b", "k").distinct().select("b", F.inline(_other_forms(F.col("k")))).select("b", "form", F.xxhash64("key").alias("key")).distinct()
     remarked = both.where("k <> '' and size(m) > 0").select("b", "k", F.explode("m").alias("m"))
     names = names.unionByName(remarked.select("b", F.lit("remark").alias("form"), F.xxhash64(_remarked(F.col("k"), F.col("m"))).alias("key")).distinct())
-    related = both.where("who is not null and (no is null or no <> b)").select("b", "cls", "who", "no")
+    related = both.where("who is not null and (no is null or no <> b)").select("b", "own", "cls", "word", "who", "no")
     return names, related
 
 
-#: Rules in the order of the cascade: (name, form of the name, least shared persons, least with the same relation).
-STRONG = [("full+2", "full", 2, 0), ("full+1 role", "full", 1, 1), ("full+1", "full", 1, 0), ("alias+2", "alias", 2, 0), ("title+2", "title", 2, 0), ("given+2", "given", 2, 1), ("initial+2", "initial", 2, 0), ("slip+2", "slip", 2, 1), ("clan+3", "clan", 3, 2)]
-WEAK = [("full+2", "full", 2, 0), ("full+1 role", "full", 1, 1), ("full+1", "full", 1, 0), ("alias+1", "alias", 1, 0), ("title+1", "title", 1, 0), ("given+1", "given", 1, 1), ("initial+1", "initial", 1, 0), ("slip+1", "slip", 1, 1), ("clan+2", "clan", 2, 2)]
-ORDER = list(dict.fromkeys([r[0] for r in STRONG + WEAK] + ["remark once", "full once", "alias once", "title once"]))
+#: Rules in the order of the cascade: form of the name, least related persons in common, least of them with the same relation.
+FIRST = [("full+2", "full", 2, 0), ("full+1 role", "full", 1, 1), ("full+1", "full", 1, 0)]
+STRONG = [("alias+2", "alias", 2, 0), ("title+2", "title", 2, 0), ("given+2", "given", 2, 1), ("initial+2", "initial", 2, 0), ("slip+2", "slip", 2, 1), ("clan+3", "clan", 3, 2)]
+WEAK = [*FIRST, ("alias+1", "alias", 1, 0), ("title+1", "title", 1, 0), ("given+1", "given", 1, 1), ("initial+1", "initial", 1, 0), ("slip+1", "slip", 1, 1), ("clan+2", "clan", 2, 2)]
+ORDER = [r[0] for r in FIRST + STRONG + WEAK[len(FIRST) :]] + ["remark once", "full once", "alias once", "title once"]
+#: Forms in either source that a rule's form joins.
+SIDES = {"full": (["full"], ["full"]), "alias": (["alias"], ["full", "title"]), "title": (["full"], ["title"]), **{f: ([f], [f]) for f in ("given", "initial", "slip", "clan")}}
+
+
+def _mask() -> Column:
+    return F.bit_or(F.when(F.col("cls") > 0, F.call_function("shiftleft", F.lit(1), F.col("cls").cast("int"))).otherwise(0)).alias("m")
+
 
+def _evidence(keys_a: DataFrame, keys_b: DataFrame) -> DataFrame:
+    """(a, b, form, shared, roles): exact join of (form, h, a, cls) and (form, h, b, cls) on h, keys of several persons of one side left out."""
 
-def _supported(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataFrame) -> DataFrame:
-    """(a, b, form, shared, roles) by exact joins on (key of the name, related person)."""
-    left = names_a.where("form <> 'remark'").join(kin_a, "a").select("a", F.col("form").alias("fa"), "key", "who", "cls")
-    right = names_b.where("form <> 'remark'").join(kin_b, "b").select("b", F.col("form").alias("fb"), "key", "who", F.col("cls").alias("cls_b"))
-    met = left.join(right, ["key", "who"]).where("fa = fb or (fa = 'full' and fb = 'title') or (fa = 'alias' and fb in ('full', 'title'))")
-    form = F.when(F.col("fa") == "alias", F.lit("alias")).otherwise(F.col("fb"))
-    each = met.groupBy("a", "b", form.alias("form"), "who").agg(F.max(F.when((F.col("cls") == F.col("cls_b")) & (F.col("cls") > 0), 1).otherwise(0)).alias("role"))
-    return each.groupBy("a", "b", "form").agg(F.count("who").alias("shared"), F.sum("role").alias("roles"))
+    def single(keys: DataFrame, side: str) -> DataFrame:
+        one = keys.groupBy("form", "h").agg(F.min(side).alias(side), F.max(side).alias("_last"), _mask())
+        return one.where(F.col(side) == F.col("_last")).select("form", "h", side, F.col("m").alias(f"m_{side}"))
+
+    met = single(keys_a, "a").join(single(keys_b, "b"), ["form", "h"])
+    return met.groupBy("a", "b", "form").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.when(F.col("m_a").bitwiseAND(F.col("m_b")) != 0, 1).otherwise(0)).alias("roles"))
 
 
 def _ruled(pairs: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
+    """Pairs with the first of the rules that holds; a pair that several forms give is taken once, by the best."""
     rule = F.lit(None).cast("int")
     for name, form, least, roles in reversed(rules):
         rule = F.when((F.col("form") == form) & (F.col("shared") >= least) & (F.col("roles") >= roles), F.lit(ORDER.index(name))).otherwise(rule)
-    return pairs.withColumn("rule", rule).where("rule is not null")
+    best = pairs.select("a", "b", F.struct(rule.alias("rule"), (-F.col("shared")).alias("s"), (-F.col("roles")).alias("r")).alias("x")).where("x.rule is not null").groupBy("a", "b").agg(F.min("x").alias("x"))
+    return best.select("a", "b", "x.rule", (-F.col("x.s")).alias("shared"), (-F.col("x.r")).alias("roles"))
 
 
 def _resolve(pairs: DataFrame) -> DataFrame:
-    """Pairs that are the only best one for either side: lowest rule, then most shared persons."""
-    one = pairs.groupBy("a", "b").agg(F.min(F.struct("rule", (-F.col("shared")).alias("s"), (-F.col("roles")).alias("r"))).alias("x")).select("a", "b", "x.*")
-    score = F.struct("rule", "s", "r")
-    w_a, w_b = Window.partitionBy("a"), Window.partitionBy("b")
-    best = one.withColumn("score", score)
-    best = best.withColumn("best_a", F.min("score").over(w_a)).withColumn("best_b", F.min("score").over(w_b))
-    best = best.where("score = best_a and score = best_b")
-    best = best.withColumn("n_a", F.count(F.lit(1)).over(w_a)).withColumn("n_b", F.count(F.lit(1)).over(w_b))
-    return best.where("n_a = 1 and n_b = 1").select("a", "b", "rule", (-F.col("s")).alias("shared"))
+    """Pairs (a, b, rule, shared, roles) that are the only best one for either side: first rule, then most related persons."""
+    score = F.struct((-F.col("rule")).alias("r"), "shared", "roles")
+    for side in ("a", "b"):
+        w = Window.partitionBy(side)
+        pairs = pairs.withColumn(f"_x{side}", F.max(score).over(w)).withColumn(f"_n{side}", F.sum(F.when(score == F.col(f"_x{side}"), 1).otherwise(0)).over(w))
+        pairs = pairs.withColumn(f"_ok{side}", (score == F.col(f"_x{side}")) & (F.col(f"_n{side}") == 1))
+    return pairs.where("_oka and _okb").select("a", "b", "rule", "shared")
+
+
+class _Done:
+    """The pairs resolved so far, in tables by step."""
 
+    def __init__(self, spark):
+        self.steps: list[DataFrame] = []
+        self.none = spark.createDataFrame([], "a long, b long, rule int, shared long")
 
-def _left_over(names: DataFrame, done: DataFrame, side: str) -> DataFrame:
-    return names.join(done.select(side), side, "left_anti")
+    def pairs(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.steps or [self.none])
+
+    def left(self, rows: DataFrame, *sides: str) -> DataFrame:
+        """Rows of the persons that aren't resolved."""
+        for side in sides if self.steps else ():
+            rows = rows.join(self.pairs().select(side), side, "left_anti")
+        return rows
+
+    def add(self, pairs: DataFrame) -> int:
+        self.steps.append(cut(_resolve(pairs)))
+        return self.steps[-1].count()
+
+
+def _row_keys(names: DataFrame, kin: DataFrame, side: str) -> DataFrame:
+    """(h, number, cls) of whole names with related persons.
+
+    The name is the one beside the relation, which takes no join; only the persons of several names are joined with all of theirs.
+    """
+    h = lambda own: F.xxhash64(own, "who").alias("h")
+    here = kin.where("own is not null").select(h("own"), side, "cls")
+    whole = names.where("form = 'full'").select(side, F.col("key").alias("k"))
+    if "own" in names.columns:  # the source whose relations may be facts of a person without its name beside them
+        bare = kin.where("own is null").select(side, "who", "cls").join(whole, side).select(h("k"), side, "cls")
+        here = here.unionByName(bare)
+    several = whole.join(whole.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(side), side, "left_semi")
+    here = here.unionByName(several.join(kin.where("own is not null").select(side, "who", "cls"), side).select(h("k"), side, "cls"))
+    return here.withColumn("form", F.lit("full"))
+
+
+def _form_keys(names: DataFrame, kin: DataFrame, side: str, hot: DataFrame) -> DataFrame:
+    """(form, h, number, cls) of left-over names with related persons, form as the rules have it; the few names of a person are joined as one row."""
+    forms = F.array(*[F.when(F.col("form").isin(SIDES[f][side == "b"]), F.lit(f)) for f in SIDES])
+    mine = names.select(side, "key", F.explode(F.array_compact(forms)).alias("form")).groupBy(side).agg(F.collect_set(F.struct("form", "key")).alias("_names"))
+    rows = join_unique(kin.select(side, "who", "cls"), mine, side, hot)
+    return rows.select(side, "who", "cls", F.inline("_names")).select("form", F.xxhash64("key", "who").alias("h"), side, "cls")
 
 
 def _once(names_a: DataFrame, names_b: DataFrame) -> DataFrame:
     """Pairs whose name, or name with a remark, occurs once in either source (among all persons, resolved or not)."""
-    def single(names: DataFrame, side: str, forms: list[str], out: str) -> DataFrame:
-        got = names.where(F.col("form").isin(forms)).groupBy("key").agg(F.countDistinct(side).alias("n"), F.min(side).alias(side))
-        return got.where("n = 1").select("key", side, F.lit(out).alias(f"form_{side}"))
+    sides = {"remark once": (["remark"], ["remark"]), "full once": (["full"], ["full"]), "alias once": (["full", "alias"], ["full"]), "title once": (["full"], ["full", "title"])}
+
+    def single(names: DataFrame, side: str, n: int) -> DataFrame:
+        rules = F.array_compact(F.array(*[F.when(F.col("form").isin(forms[n]), F.lit(ORDER.index(r))) for r, forms in sides.items()]))
+        got = names.select(side, "key", F.explode(rules).alias("rule")).groupBy("key", "rule").agg(F.min(side).alias(side), F.max(side).alias("_last"))
+        return got.where(F.col(side) == F.col("_last")).select("key", "rule", side)
 
-    fa, aa = single(names_a, "a", ["full"], "full"), single(names_a, "a", ["full", "alias"], "alias")
-    fb, tb = single(names_b, "b", ["full"], "full"), single(names_b, "b", ["full", "title"], "title")
-    ra, rb = single(names_a, "a", ["remark"], "remark"), single(names_b, "b", ["remark"], "remark")
-    made = [ra.join(rb, "key").withColumn("r", F.lit("remark once")), fa.join(fb, "key").withColumn("r", F.lit("full once")), aa.join(fb, "key").withColumn("r", F.lit("alias once")), fa.join(tb, "key").withColumn("r", F.lit("title once"))]
-    rule = _map({n: str(i) for i, n in enumerate(ORDER)})[F.col("r")].cast("int")
-    return reduce(DataFrame.unionByName, [m.select("a", "b", rule.alias("rule"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("roles")) for m in made])
+    zero = F.lit(0).cast("long")
+    return single(names_a, "a", 0).join(single(names_b, "b", 1), ["key", "rule"]).groupBy("a", "b").agg(F.min("rule").alias("rule")).select("a", "b", "rule", zero.alias("shared"), zero.alias("roles"))
 
 
 def match(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(a, b, rule, shared, confidence). ``labels``: known pairs (a, b); none of their persons has another partner."""
     names_a, kin_a, names_b = (cut(t) for t in (names_a, kin_a, names_b))
-    plain = kin_b.select("b", "cls", "who")
-    whole = "form = 'full'"
-    first_pairs = cut(_supported(names_a.where(whole), kin_a, names_b.where(whole), plain))
-    done = cut(_resolve(_ruled(first_pairs, STRONG)))
-    passes, tried = [done], [first_pairs]
-    # from here on persons related are also known by the name that the first source has for them
-    full = names_a.where(whole).select("a", F.col("own").alias("who2")).distinct()
-    kin_b = cut(kin_b.join(done.select("b"), "b", "left_anti").distinct())
-    plain = kin_b.select("b", "cls", "who")
-    for rules in (STRONG, STRONG + WEAK, STRONG + WEAK):
-        known = done.select("a", F.col("b").alias("no")).join(full, "a").select("no", "who2")
-        more = plain.unionByName(kin_b.where("no is not null").join(known, "no").select("b", "cls", F.col("who2").alias("who")))
-        rest = cut(_supported(_left_over(names_a, done, "a"), kin_a, _left_over(names_b, done, "b"), more))
-        tried.append(rest.where("form <> 'full'"))
-        new = cut(_resolve(_ruled(rest, rules)))
-        passes.append(new)
-        done = done.select("a", "b", "rule", "shared").unionByName(new)
-    once = _once(names_a, names_b)
-    open_ = once.join(done.select("a"), "a", "left_anti").join(done.select("b"), "b", "left_anti")
-    passes.append(_resolve(open_))
-    found = reduce(DataFrame.unionByName, [p.select("a", "b", "rule", "shared") for p in passes])
-    pairs = reduce(DataFrame.unionByName, tried).distinct()
-    if labels is None:
-        labels = pairs.where("shared >= 3").select("a", "b").distinct()
-    rated = confidence(_trials(pairs, once), labels)
+    done = _Done(names_a.sparkSession)
+    whole = cut(_evidence(_row_keys(names_a, kin_a, "a"), _row_keys(names_b, kin_b, "b")))
+    for rule in FIRST:
+        done.add(done.left(_ruled(whole, [rule]), "a", "b"))
+    hot_a, hot_b, hot_no = hot_keys(kin_a, "a"), hot_keys(kin_b, "b"), hot_keys(kin_b, "no")
+    own = names_a.where("form = 'full'").groupBy("a").agg(F.collect_set("own").alias("_own"))
+    left_a, left_b = names_a.where("form <> 'remark'"), names_b.where("form <> 'remark'")
+    left = kin_b.select("b", "cls", "who", "no")
+    for rules in chain([STRONG], repeat(WEAK)):
+        # left over are persons without a pair; a form of theirs counts only if a left-over person of the other source has it, too
+        left_a, left_b = done.left(left_a, "a"), done.left(left_b, "b")
+        left_a, left_b = cut(left_a.join(left_b.select("key"), "key", "left_semi")), cut(left_b.join(left_a.select("key"), "key", "left_semi"))
+        left = cut(join_unique(left, left_b.select("b").distinct(), "b", hot_b))
+        known = done.pairs().select("a", F.col("b").alias("no")).join(own, "a").select("no", "_own")
+        more = join_unique(left.where("no is not null"), known, "no", hot_no).select("b", "cls", F.explode("_own").alias("who"))
+        keys_a = _form_keys(left_a, kin_a, "a", hot_a)
+        keys_b = _form_keys(left_b, left.select("b", "cls", "who").unionByName(more), "b", hot_b)
+        if not done.add(_ruled(_evidence(keys_a, keys_b), rules)) and rules is WEAK:
+            break
+    done.add(done.left(_once(names_a, names_b), "a", "b"))
+    found = done.pairs()
+    rated = confidence(found, labels if labels is not None else structural_labels(found, kin_a, kin_b, hot_a, hot_b))
     return found.join(F.broadcast(rated), "rule", "left").select("a", "b", F.element_at(F.array(*[F.lit(r) for r in ORDER]), F.col("rule") + 1).alias("rule"), "shared", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
 
 
-def _trials(pairs: DataFrame, once: DataFrame) -> DataFrame:
-    """(a, b, rule, weight): what each rule says on its own. A rule that needs one shared person is tried with each of them."""
-    made = []
-    for name, form, least, roles in dict((r[0], r) for r in STRONG + WEAK).values():
-        hit = (F.col("form") == form) & (F.col("shared") >= least) & (F.col("roles") >= roles)
-        weight = F.lit(1).cast("long") if least > 1 else (F.col("roles").cast("long") if roles else F.col("shared").cast("long"))
-        made.append(F.when(hit, F.struct(F.lit(ORDER.index(name)).alias("rule"), weight.alias("weight"))))
-    tried = pairs.select("a", "b", F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
-    return tried.unionByName(once.select("a", "b", "rule", F.lit(1).cast("long").alias("weight")))
+def structural_labels(found: DataFrame, kin_a: DataFrame, kin_b: DataFrame, hot_a: DataFrame, hot_b: DataFrame) -> DataFrame:
+    """Pairs (a, b) of persons that are the one father, or mother, of two resolved persons, without regard to their names."""
+
+    def parents(kin: DataFrame, side: str, out: str) -> DataFrame:
+        one = kin.where("word > 0 and no is not null").groupBy(side, "word").agg(F.min("no").alias(out), F.max("no").alias("_last"))
+        return one.where(F.col(out) == F.col("_last")).select(side, "word", out)
 
+    of_a = parents(kin_a, "a", "pa").withColumnRenamed("word", "word_a")
+    child = found.select("a", "b").join(of_a, "a").join(parents(kin_b, "b", "pb"), "b").where("word = word_a")
+    pairs = child.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+    for side in ("a", "b"):  # contradicting labels say nothing
+        pairs = pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(side))).where("_n = 1").drop("_n")
+    return pairs
 
-def confidence(tried: DataFrame, labels: DataFrame) -> DataFrame:
-    """Smoothed precision of each rule (one row per rule) over labelled persons: (right + 1) / (tried + 2)."""
-    truth = labels.groupBy("a").agg(F.min("b").alias("true_b"), F.countDistinct("b").alias("n")).where("n = 1").drop("n")
-    held = tried.join(truth, "a")
-    right = F.sum(F.when(F.col("b") == F.col("true_b"), F.col("weight")).otherwise(0))
-    return held.groupBy("rule").agg(((right + 1) / (F.sum("weight") + 2)).alias("confidence"))
+
+def confidence(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Smoothed precision of each rule (one row per rule): (right + 1) / (judged + 2).
+
+    A pair found is judged if a label names one of its persons: right if the label names the other one, too.
+    """
+    known = labels.select("a", "b").distinct()
+    by_a, by_b = known.select("a", F.col("b").alias("_b")), known.select("b", F.col("a").alias("_a"))
+    judged = found.join(by_a, "a", "left").join(by_b, "b", "left").where("_a is not null or _b is not null")
+    right = (F.col("_b") == F.col("b")) | (F.col("_a") == F.col("a"))
+    good = F.sum(F.when(right, 1).otherwise(0))
+    return judged.groupBy("rule").agg(((good + 1) / (F.count(F.lit(1)) + 2)).alias("confidence"))

@@ -22,12 +22,13 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of numbers with the rule that found them and its confidence."""
     flat = nested.flatten(table(spark, d, "entity_relationship"), "id", {"entity": "entity", "relationship": "relationship"})
     telling = (F.col("kind") != "string") | F.col("path").isin(KIN) | F.col("path").rlike(OWN_NAMES) | F.col("path").rlike(REMARKS) | F.col("path").rlike(COMPANIONS)
-    flat = flat.where(telling & F.col("kind").isin("item", "relation", "string")).select(matching.number(F.col("url")).alias("a"), "kind", F.when(F.col("kind") == "item", F.col("name")).alias("name"), F.when(F.col("kind") == "string", F.col("path")).alias("path"), "value", "to_name")
-    flat = cut(flat.where("a is not null").distinct())
+    flat = flat.where(telling & F.col("kind").isin("item", "relation", "string")).select(matching.number(F.col("url")).alias("a"), "kind", "name", F.when(F.col("kind") == "string", F.col("path")).alias("path"), "value", "to_name", matching.number(F.col("to_url")).alias("no"))
+    flat = cut(flat.where("a is not null"))
     persons = flat.where("kind = 'item'").select("a", "name")
     facts = flat.where("kind = 'string'")
-    kin = flat.where("kind = 'relation'").select("a", F.col("value").alias("rel"), F.col("to_name").alias("who")).unionByName(facts.where(F.col("path").isin(KIN)).select("a", F.col("path").alias("rel"), F.col("value").alias("who")))
-    kin = kin.unionByName(facts.where(F.col("path").rlike(COMPANIONS)).select("a", F.lit("同僚").alias("rel"), F.col("value").alias("who")))
+    none = F.lit(None).cast("long").alias("no")
+    kin = flat.where("kind = 'relation'").select("a", "name", F.col("value").alias("rel"), F.col("to_name").alias("who"), "no").unionByName(facts.where(F.col("path").isin(KIN)).select("a", "name", F.col("path").alias("rel"), F.col("value").alias("who"), none))
+    kin = kin.unionByName(facts.where(F.col("path").rlike(COMPANIONS)).select("a", "name", F.lit("同僚").alias("rel"), F.col("value").alias("who"), none))
     aliases = facts.where(F.col("path").rlike(OWN_NAMES)).select("a", F.explode(multivalue.items(F.col("value"))).alias("alias"))
     remarks = facts.where(F.col("path").rlike(REMARKS)).select("a", F.explode(multivalue.items(F.col("value"))).alias("remark"))
     names_a, kin_a = matching.source_a(persons, kin, aliases, remarks)
