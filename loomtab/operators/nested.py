@@ -18,10 +18,11 @@ repeated row gives its own rows; extra columns are ignored.
 from __future__ import annotations
 
 import ast
+import functools
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,7 @@ def _plain(raw: bytes, quote: bytes) -> str:
 _LITERALS = {"true": "boolean", "false": "boolean", "True": "boolean", "False": "boolean"}
 
 
-def _flat(ix: Index, quote: bytes, want: str) -> list[list[tuple]]:
+def _flat(ix: Index, quote: bytes, want: str, keep: Callable[[str], bool] | None = None) -> list[list[tuple]]:
     """For each field its rows (doc order): (token of the item, path, value, kind, name, url, to_name, to_url)."""
     out: list[list[tuple]] = [[] for _ in ix.ok]
     good = ix.ok[ix.field]
@@ -227,7 +228,7 @@ def _flat(ix: Index, quote: bytes, want: str) -> list[list[tuple]]:
                 here = f"{path}[{key}]" if isinstance(key, int) else (f"{path}.{key}" if path else key)
                 if ix.kind[k] == 1:
                     stack.append((k, here))
-                else:
+                elif keep is None or keep(here):
                     v = scalar(k)
                     if v is not None:
                         kind = "string" if ix.kind[k] == STRING else _LITERALS.get(v, "number")
@@ -275,7 +276,7 @@ def _repr_to_json(s: str) -> str | None:
     return " ".join(out)
 
 
-def parse_fields(texts: list[str | None], want: str) -> list[list[tuple]]:
+def parse_fields(texts: list[str | None], want: str, keep: Callable[[str], bool] | None = None) -> list[list[tuple]]:
     """Rows of each text, as in :func:`_flat` with the item's number in place of its token."""
     result: list[list[tuple]] = [[] for _ in texts]
     groups: dict[bytes, list[tuple[int, bytes]]] = {b'"': [], b"'": []}
@@ -295,13 +296,13 @@ def parse_fields(texts: list[str | None], want: str) -> list[list[tuple]]:
         if not fields:
             continue
         ix = Index([b for _, b in fields], quote)
-        rows = _flat(ix, quote, want)
+        rows = _flat(ix, quote, want, keep)
         whole: dict[int, list[tuple[int, str]]] = {}
         loose = np.flatnonzero(ix.ok[ix.field] & (ix.level == 0) & (ix.kind == STRING))
         for k in loose.tolist():
             whole.setdefault(int(ix.field[k]), []).append((k, _plain(ix.text(k), quote)))
         inner = [(f, k, s) for f, ks in whole.items() for k, s in ks]
-        parsed = _documents([s for _, _, s in inner], want) if inner else []
+        parsed = _documents([s for _, _, s in inner], want, keep) if inner else []
         bad = set()
         for (f, k, _), got in zip(inner, parsed):
             if got is None:
@@ -321,9 +322,9 @@ def parse_fields(texts: list[str | None], want: str) -> list[list[tuple]]:
     return result
 
 
-def _documents(texts: list[str], want: str) -> list[list[tuple] | None]:
+def _documents(texts: list[str], want: str, keep: Callable[[str], bool] | None) -> list[list[tuple] | None]:
     """Documents held in strings; None for one that isn't complete."""
-    got = parse_fields(texts, want)
+    got = parse_fields(texts, want, keep)
     out: list[list[tuple] | None] = []
     for s, rows in zip(texts, got):
         if rows or not s.strip():
@@ -334,11 +335,15 @@ def _documents(texts: list[str], want: str) -> list[list[tuple] | None]:
     return out
 
 
-def flatten(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """All rows of the nested fields. ``fields``: {column: 'entity' or 'relationship'}."""
+def flatten(df: DataFrame, id_col: str, fields: dict[str, str], paths: str | None = None) -> DataFrame:
+    """All rows of the nested fields. ``fields``: {column: 'entity' or 'relationship'}.
+
+    ``paths``: only leaves whose path this pattern matches are read and sent; items and relations come whatever their attributes.
+    """
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = functools.lru_cache(1 << 16)(re.compile(paths).search) if paths else None
         schema = pa.schema([("id", pa.int64()), ("field", pa.string()), ("item_no", pa.int64()), *[(c, pa.string()) for c in ("path", "value", "kind", "name", "url", "to_name", "to_url")]])
         for b in batches:
             for at in range(0, b.num_rows, 256):  # bounds the index of very long fields
@@ -346,7 +351,7 @@ def flatten(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
                 ids = part.column(0).to_pylist()
                 cols: list[list] = [[] for _ in range(10)]
                 for k, f in enumerate(names):
-                    for i, rows in zip(ids, parse_fields(part.column(1 + k).to_pylist(), fields[f])):
+                    for i, rows in zip(ids, parse_fields(part.column(1 + k).to_pylist(), fields[f], keep)):
                         for r in rows:
                             for c, v in zip(cols, (i, f, *r)):
                                 c.append(v)

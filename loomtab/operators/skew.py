@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fewer than this many groups can each hold more than 1/HOT of all rows, so the list of hot groups may be broadcast.
@@ -21,21 +23,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(groups.where(F.col(size) > limit).select(key)), key, "left_anti").join(cold, key))
 
 
-def hot_keys(rows: DataFrame, key: str, least: int = 10_000) -> DataFrame:
-    """The keys with more than ``max(least, rows / HOT)`` rows each, fewer than HOT by counting, as a table made on the driver."""
-    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(HOT).collect()  # below HOT rows reach the limit set next
-    limit = max(least, rows.count() // HOT) if big else least
-    return rows.sparkSession.createDataFrame([(r[0],) for r in big if r["_n"] > limit], rows.select(key).schema)
-
+def hot_keys(rows: dict[str, DataFrame], least: int = 10_000) -> dict[str, list]:
+    """For each table of one number column the keys with more than ``max(least, rows / HOT)`` rows each.
 
-def join_unique(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    They are fewer than HOT a table by counting: more than HOT keys of more than ``least`` rows each means that the
+    table has more than HOT * least rows, so that the limit rises; the HOT largest are enough.
+    """
+    sizes = reduce(DataFrame.unionByName, [t.toDF("key").where("key is not null").select(F.lit(name).alias("name"), F.col("key").cast("long").alias("key")) for name, t in rows.items()])
+    sizes = sizes.groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n")))
+    largest = sizes.where(F.col("n") > least).withColumn("k", rank).where(F.col("k") <= HOT).collect()
+    out: dict[str, list] = {name: [] for name in rows}
+    limit = {name: max(least, rows[name].count() // HOT) for name in {r["name"] for r in largest}}
+    for r in largest:
+        if r["n"] > limit[r["name"]]:
+            out[r["name"]].append(r["key"])
+    return out
+
+
+def join_unique(rows: DataFrame, lookup: DataFrame, key: str, hot: list) -> DataFrame:
     """``rows`` ⋈ ``lookup`` on ``key``, where ``lookup`` has a key once; rows of the keys in ``hot`` stay where they are.
 
     ``hot`` comes from :func:`hot_keys`, so that the part of ``lookup`` that is sent to all tasks has fewer than HOT rows.
     """
-    few = [r[0] for r in hot.collect()]
-    if not few:
+    if not hot:
         return rows.join(lookup, key)
-    is_hot = F.col(key).isin(few)
+    is_hot = F.col(key).isin(hot)
     return rows.where(is_hot).join(F.broadcast(lookup.where(is_hot)), key).unionByName(rows.where(~is_hot).join(lookup, key))
