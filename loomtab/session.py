@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,12 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     The rows are computed once, where a checkpoint of an RDD computes its last stage twice. The table is removed when
     the driver ends.
     """
+    return cut_counted(df)[0]
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, which is counted as they are written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/loomtab-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
