@@ -6,9 +6,9 @@ left over in either source, on a 64-bit hash of (form of the name, name of a rel
 one source share tells nothing and is left out before the join, so that each side has a key once and a join can't
 grow beyond its input, whatever is hot. A pair with enough keys in common is resolved if it is the only best one for
 either side; resolved persons are anti-joined before the next rule. The rules go from whole names over aliases, names
-without title, given names, initials and slips to clan names; then the same again with fewer related persons, in which
-a related person is also known by the name that a resolved person has in the other source, until a pass resolves
-nothing. At last come names that occur once in either source, first together with a remark in brackets (courtesy name, place,
+without title, given names, initials and slips to clan names, and to the same with fewer related persons. A related person is also known by the name that a resolved
+person has in the other source, which may resolve further persons, so that the rules are tried again as long as they resolve any and these
+bring further names of related persons. At last come names that occur once in either source, first together with a remark in brackets (courtesy name, place,
 dynasty) that is a fact of the person in the other source.
 
 The confidence of a pair is the precision of its rule on labelled persons, smoothed by one right and one wrong case.
@@ -28,16 +28,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, repeat
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtab.functions.script import simplify, simplify_map
 from loomtab.operators.skew import hot_keys, join_unique
-from loomtab.session import cut
+from loomtab.session import cut, cut_counted
 
 BRACKETS = r"[(（\[［【〔<〈].*?[)）\]］】〕>〉]"
 TITLES = "(?:将军|先生|夫人|大人|娘娘|公|氏)$"
@@ -81,9 +81,22 @@ def number(url: Column) -> Column:
 _BRACKETS, _ADDRESS, _NUMBER = re.compile(BRACKETS), re.compile(ADDRESS, re.IGNORECASE), re.compile(r"/(\d+)/?$")
 _OUTER = re.compile(r"^\s*[\[(［]\s*(?=['\"‘’“”])|(?<=['\"‘’“”])\s*[\])］]\s*$")
 _WORD = re.compile(r"[^\W_]+")
+_LATIN = re.compile("[a-z]")
+#: An endpoint in its plain form, with a name that holds neither marks nor an address: name and number at once.
+_PLAIN = re.compile(r"\['([^'\"‘’“”\[\]()（）［］【】〔〕<>〈〉:]*)', '(?:https?://[^\s'\"‘’“”|,，\[\]［］()（）]*/(\d{1,18})/?)?'\]")
 _REMARK = re.compile("^字|人$")  # 字 with a courtesy name, X人 with a place or dynasty
 
 
+def _plain_key(name: str | None, simple: dict[int, str]) -> str:
+    """The same as :func:`name_key`."""
+    plain = (name or "").translate(simple).lower()
+    if plain.isalnum():
+        return plain
+    words = _WORD.findall(_BRACKETS.sub(" ", plain))
+    key = "".join(words)
+    return " ".join(sorted(words)) if _LATIN.search(key) else key
+
+
 def endpoint(s: str | None, simple: dict[int, str]) -> tuple[str, int | None]:
     """(key of the name, number) of an endpoint text with name and address in either order and any quotation."""
     return _parsed(s, simple)[:2]
@@ -92,18 +105,36 @@ def endpoint(s: str | None, simple: dict[int, str]) -> tuple[str, int | None]:
 def _parsed(s: str | None, simple: dict[int, str]) -> tuple[str, int | None, list[str]]:
     """(key of the name, number, remarks in brackets) of an endpoint text."""
     s = s or ""
+    if easy := _PLAIN.fullmatch(s):
+        return _plain_key(easy[1], simple), int(easy[2]) if easy[2] else None, []
     m = _ADDRESS.search(s)
     n = _NUMBER.search(m[0]) if m else None
     name = _OUTER.sub("", _ADDRESS.sub("", s))
     plain = _BRACKETS.sub(" ", name).translate(simple).lower()
     words = _WORD.findall(plain)
     key = "".join(words)
-    if any("a" <= c <= "z" for c in key):
+    if _LATIN.search(key):
         key = " ".join(sorted(words))
     remarks = {_REMARK.sub("", "".join(_WORD.findall(x[1:-1].translate(simple).lower()))) for x in _BRACKETS.findall(name)}
     return key, int(n[1]) if n and len(n[1]) < 19 else None, sorted(x for x in remarks if x and not x.isdigit())
 
 
+def with_keys(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``df`` with a column for the key of each name: ``names`` = {column of the name: column of its key}. In a batch each different name is worked on once."""
+    simple = {ord(a): b for a, b in simplify_map(df.sparkSession).items()}
+    schema = T.StructType([*df.schema.fields, *[T.StructField(k, T.StringType()) for k in names.values()]])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            cols = list(b.columns)
+            for c in names:
+                d = pc.dictionary_encode(b.column(b.schema.get_field_index(c)), null_encoding="encode")
+                cols.append(pa.array([_plain_key(t, simple) for t in d.dictionary.to_pylist()], pa.string()).take(d.indices))
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *names.values()])
+
+    return df.mapInArrow(run, schema)
+
+
 def _endpoints(statements: DataFrame, c0: str, rel: str, c2: str) -> DataFrame:
     """(n0, i0, m0, rel, n2, i2, m2), m the remarks at a name. In a batch each different text is parsed once, so that a hot person costs little."""
     simple = {ord(a): b for a, b in simplify_map(statements.sparkSession).items()}
@@ -194,16 +225,17 @@ def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame, remarks: Da
     and no (the other person's number); ``aliases``: a, alias;
     ``remarks``: a, remark, facts that the other source puts in brackets beside a name.
     """
-    full = persons.select("a", name_key(F.col("name")).alias("k")).where("a is not null and k <> ''").distinct()
-    other = aliases.select("a", name_key(F.col("alias")).alias("k")).where("a is not null and k <> ''").distinct().join(full, ["a", "k"], "left_anti")
+    keyed = lambda df, c, k: with_keys(df.select("a", c).where("a is not null").distinct(), {c: k}).select("a", k).where(f"{k} <> ''").distinct()
+    full = keyed(persons, "name", "k")
+    other = keyed(aliases, "alias", "k").join(full, ["a", "k"], "left_anti")
     names = full.select("a", "k", F.inline(_forms(F.col("k"), "full"))).unionByName(other.select("a", "k", F.inline(_forms(F.col("k"), "alias"))))
     if remarks is not None:
-        known = remarks.select("a", name_key(F.col("remark")).alias("m")).where("a is not null and m <> ''").distinct()
-        names = names.unionByName(full.join(known, "a").select("a", "k", F.lit("remark").alias("form"), _remarked(F.col("k"), F.col("m")).alias("key")))
-    own = _whole(name_key(F.col("name"))) if "name" in kin.columns else F.lit(None).cast("long")
-    no = F.col("no") if "no" in kin.columns else F.lit(None).cast("long")
-    related = kin.select("a", own.alias("own"), relation_class(F.col("rel")).alias("cls"), _single(F.col("rel")).alias("word"), name_key(F.col("who")).alias("k"), no.alias("no")).where("a is not null and k <> '' and (no is null or no <> a)")
-    return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")).distinct(), related.withColumn("who", F.xxhash64("k")).drop("k")
+        names = names.unionByName(full.join(keyed(remarks, "remark", "m"), "a").select("a", "k", F.lit("remark").alias("form"), _remarked(F.col("k"), F.col("m")).alias("key")))
+    none = F.lit(None)
+    kin = kin.select("a", (F.col("name") if "name" in kin.columns else none.cast("string")).alias("name"), relation_class(F.col("rel")).alias("cls"), _single(F.col("rel")).alias("word"), "who", (F.col("no") if "no" in kin.columns else none.cast("long")).alias("no"))
+    related = with_keys(kin.where("a is not null and (no is null or no <> a)"), {"name": "own", "who": "k"}).where("k <> ''")
+    related = related.select("a", F.when(F.col("own") != "", _whole(F.col("own"))).alias("own"), "cls", "word", "no", F.xxhash64("k").alias("who"))
+    return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")).distinct(), related
 
 
 def source_b(statements: DataFrame, c0: str = "c0", rel: str = "c1", c2: str = "c2") -> tuple[DataFrame, DataFrame]:
@@ -238,24 +270,26 @@ def _mask() -> Column:
     return F.bit_or(F.when(F.col("cls") > 0, F.call_function("shiftleft", F.lit(1), F.col("cls").cast("int"))).otherwise(0)).alias("m")
 
 
-def _evidence(keys_a: DataFrame, keys_b: DataFrame) -> DataFrame:
-    """(a, b, form, shared, roles): exact join of (form, h, a, cls) and (form, h, b, cls) on h, keys of several persons of one side left out."""
+def _evidence(keys_a: DataFrame, keys_b: DataFrame, of: tuple[str, ...] = tuple(SIDES)) -> DataFrame:
+    """(a, b, and for each form shared and roles): exact join of (form, h, a, cls) and (form, h, b, cls) on h, keys of several persons of one side left out."""
 
     def single(keys: DataFrame, side: str) -> DataFrame:
         one = keys.groupBy("form", "h").agg(F.min(side).alias(side), F.max(side).alias("_last"), _mask())
         return one.where(F.col(side) == F.col("_last")).select("form", "h", side, F.col("m").alias(f"m_{side}"))
 
-    met = single(keys_a, "a").join(single(keys_b, "b"), ["form", "h"])
-    return met.groupBy("a", "b", "form").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.when(F.col("m_a").bitwiseAND(F.col("m_b")) != 0, 1).otherwise(0)).alias("roles"))
+    role = F.when(F.col("m_a").bitwiseAND(F.col("m_b")) != 0, 1).otherwise(0)
+    met = single(keys_a, "a").join(single(keys_b, "b"), ["form", "h"]).select("a", "b", "form", role.alias("role"))
+    forms = [F.struct(F.sum(F.when(F.col("form") == list(SIDES).index(f), 1).otherwise(0)).alias("shared"), F.sum(F.when(F.col("form") == list(SIDES).index(f), F.col("role")).otherwise(0)).alias("roles")).alias(f) for f in of]
+    return met.groupBy("a", "b").agg(*forms)
 
 
 def _ruled(pairs: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
-    """Pairs with the first of the rules that holds; a pair that several forms give is taken once, by the best."""
-    rule = F.lit(None).cast("int")
+    """(a, b, rule, shared, roles): the pairs for which one of the rules holds, with the first of them."""
+    won = F.lit(None)
     for name, form, least, roles in reversed(rules):
-        rule = F.when((F.col("form") == form) & (F.col("shared") >= least) & (F.col("roles") >= roles), F.lit(ORDER.index(name))).otherwise(rule)
-    best = pairs.select("a", "b", F.struct(rule.alias("rule"), (-F.col("shared")).alias("s"), (-F.col("roles")).alias("r")).alias("x")).where("x.rule is not null").groupBy("a", "b").agg(F.min("x").alias("x"))
-    return best.select("a", "b", "x.rule", (-F.col("x.s")).alias("shared"), (-F.col("x.r")).alias("roles"))
+        x = F.col(form)
+        won = F.when((x["shared"] >= least) & (x["roles"] >= roles), F.struct(F.lit(ORDER.index(name)).alias("rule"), x["shared"].alias("shared"), x["roles"].alias("roles"))).otherwise(won)
+    return pairs.select("a", "b", won.alias("x")).where("x is not null").select("a", "b", "x.*")
 
 
 def _resolve(pairs: DataFrame) -> DataFrame:
@@ -271,22 +305,22 @@ def _resolve(pairs: DataFrame) -> DataFrame:
 class _Done:
     """The pairs resolved so far, in tables by step."""
 
-    def __init__(self, spark):
+    def __init__(self):
         self.steps: list[DataFrame] = []
-        self.none = spark.createDataFrame([], "a long, b long, rule int, shared long")
 
-    def pairs(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.steps or [self.none])
+    def pairs(self, since: int = 0) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.steps[since:])
 
     def left(self, rows: DataFrame, *sides: str) -> DataFrame:
         """Rows of the persons that aren't resolved."""
-        for side in sides if self.steps else ():
+        for side in sides:
             rows = rows.join(self.pairs().select(side), side, "left_anti")
         return rows
 
     def add(self, pairs: DataFrame) -> int:
-        self.steps.append(cut(_resolve(pairs)))
-        return self.steps[-1].count()
+        new, n = cut_counted(_resolve(pairs))
+        self.steps.append(new)
+        return n
 
 
 def _row_keys(names: DataFrame, kin: DataFrame, side: str) -> DataFrame:
@@ -302,14 +336,17 @@ def _row_keys(names: DataFrame, kin: DataFrame, side: str) -> DataFrame:
         here = here.unionByName(bare)
     several = whole.join(whole.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(side), side, "left_semi")
     here = here.unionByName(several.join(kin.where("own is not null").select(side, "who", "cls"), side).select(h("k"), side, "cls"))
-    return here.withColumn("form", F.lit("full"))
+    return here.withColumn("form", F.lit(list(SIDES).index("full")).cast("byte"))
 
 
-def _form_keys(names: DataFrame, kin: DataFrame, side: str, hot: DataFrame) -> DataFrame:
-    """(form, h, number, cls) of left-over names with related persons, form as the rules have it; the few names of a person are joined as one row."""
-    forms = F.array(*[F.when(F.col("form").isin(SIDES[f][side == "b"]), F.lit(f)) for f in SIDES])
-    mine = names.select(side, "key", F.explode(F.array_compact(forms)).alias("form")).groupBy(side).agg(F.collect_set(F.struct("form", "key")).alias("_names"))
-    rows = join_unique(kin.select(side, "who", "cls"), mine, side, hot)
+def _by_person(names: DataFrame, side: str) -> DataFrame:
+    """(number, _names): the few names of a person with their forms, as the rules have them, in one row."""
+    forms = F.array(*[F.when(F.col("form").isin(SIDES[f][side == "b"]), F.lit(k).cast("byte")) for k, f in enumerate(SIDES)])
+    return names.select(side, "key", F.explode(F.array_compact(forms)).alias("form")).groupBy(side).agg(F.collect_set(F.struct("form", "key")).alias("_names"))
+
+
+def _form_keys(rows: DataFrame, side: str) -> DataFrame:
+    """(form, h, number, cls) of persons with their names and related persons."""
     return rows.select(side, "who", "cls", F.inline("_names")).select("form", F.xxhash64("key", "who").alias("h"), side, "cls")
 
 
@@ -329,32 +366,36 @@ def _once(names_a: DataFrame, names_b: DataFrame) -> DataFrame:
 def match(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(a, b, rule, shared, confidence). ``labels``: known pairs (a, b); none of their persons has another partner."""
     names_a, kin_a, names_b = (cut(t) for t in (names_a, kin_a, names_b))
-    done = _Done(names_a.sparkSession)
-    whole = cut(_evidence(_row_keys(names_a, kin_a, "a"), _row_keys(names_b, kin_b, "b")))
-    for rule in FIRST:
-        done.add(done.left(_ruled(whole, [rule]), "a", "b"))
-    hot_a, hot_b, hot_no = hot_keys(kin_a, "a"), hot_keys(kin_b, "b"), hot_keys(kin_b, "no")
+    done = _Done()
+    done.add(_ruled(_evidence(_row_keys(names_a, kin_a, "a"), _row_keys(names_b, kin_b, "b"), ("full",)), FIRST))
+    hot = hot_keys({"a": kin_a.select("a"), "b": kin_b.select("b"), "no": kin_b.select("no")})
     own = names_a.where("form = 'full'").groupBy("a").agg(F.collect_set("own").alias("_own"))
-    left_a, left_b = names_a.where("form <> 'remark'"), names_b.where("form <> 'remark'")
-    left = kin_b.select("b", "cls", "who", "no")
-    for rules in chain([STRONG], repeat(WEAK)):
-        # left over are persons without a pair; a form of theirs counts only if a left-over person of the other source has it, too
-        left_a, left_b = done.left(left_a, "a"), done.left(left_b, "b")
-        left_a, left_b = cut(left_a.join(left_b.select("key"), "key", "left_semi")), cut(left_b.join(left_a.select("key"), "key", "left_semi"))
-        left = cut(join_unique(left, left_b.select("b").distinct(), "b", hot_b))
-        known = done.pairs().select("a", F.col("b").alias("no")).join(own, "a").select("no", "_own")
-        more = join_unique(left.where("no is not null"), known, "no", hot_no).select("b", "cls", F.explode("_own").alias("who"))
-        keys_a = _form_keys(left_a, kin_a, "a", hot_a)
-        keys_b = _form_keys(left_b, left.select("b", "cls", "who").unionByName(more), "b", hot_b)
-        if not done.add(_ruled(_evidence(keys_a, keys_b), rules)) and rules is WEAK:
+    # left over are persons without a pair; a form of theirs counts only if a left-over person of the other source has it, too
+    left_a, left_b = done.left(names_a.where("form <> 'remark'"), "a"), done.left(names_b.where("form <> 'remark'"), "b")
+    mine_a, mine_b = _by_person(left_a.join(left_b.select("key"), "key", "left_semi"), "a"), _by_person(left_b.join(left_a.select("key"), "key", "left_semi"), "b")
+    keys_a = cut(_form_keys(join_unique(kin_a.select("a", "who", "cls"), mine_a, "a", hot["a"]), "a"))
+    left = cut(join_unique(kin_b.select("b", "cls", "who", "no"), mine_b, "b", hot["b"]))
+
+    keys_b, new = [], done.pairs()
+    while True:
+        # related persons under their own names at first, then also under those that persons resolved last have in the first source
+        known = new.select("a", F.col("b").alias("no")).join(own, "a").select("no", "_own")
+        more = _form_keys(join_unique(left.where("no is not null").drop("who"), known, "no", hot["no"]).withColumn("who", F.explode("_own")), "b")
+        more, n = cut_counted((more if keys_b else more.unionByName(_form_keys(left, "b"))).join(keys_a.select("form", "h"), ["form", "h"], "left_semi"))
+        if not n:
+            break
+        rules = WEAK if keys_b else STRONG + WEAK
+        keys_b.append(more)
+        if not done.add(_ruled(_evidence(done.left(keys_a, "a"), done.left(reduce(DataFrame.unionByName, keys_b), "b")), rules)):
             break
+        new = done.steps[-1]
     done.add(done.left(_once(names_a, names_b), "a", "b"))
     found = done.pairs()
-    rated = confidence(found, labels if labels is not None else structural_labels(found, kin_a, kin_b, hot_a, hot_b))
+    rated = confidence(found, labels if labels is not None else structural_labels(found, kin_a, kin_b))
     return found.join(F.broadcast(rated), "rule", "left").select("a", "b", F.element_at(F.array(*[F.lit(r) for r in ORDER]), F.col("rule") + 1).alias("rule"), "shared", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
 
 
-def structural_labels(found: DataFrame, kin_a: DataFrame, kin_b: DataFrame, hot_a: DataFrame, hot_b: DataFrame) -> DataFrame:
+def structural_labels(found: DataFrame, kin_a: DataFrame, kin_b: DataFrame) -> DataFrame:
     """Pairs (a, b) of persons that are the one father, or mother, of two resolved persons, without regard to their names."""
 
     def parents(kin: DataFrame, side: str, out: str) -> DataFrame:

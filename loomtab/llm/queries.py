@@ -20,9 +20,9 @@ COMPANIONS = r"同僚\[\d+\]\.姓名$"
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of numbers with the rule that found them and its confidence."""
-    flat = nested.flatten(table(spark, d, "entity_relationship"), "id", {"entity": "entity", "relationship": "relationship"})
-    telling = (F.col("kind") != "string") | F.col("path").isin(KIN) | F.col("path").rlike(OWN_NAMES) | F.col("path").rlike(REMARKS) | F.col("path").rlike(COMPANIONS)
-    flat = flat.where(telling & F.col("kind").isin("item", "relation", "string")).select(matching.number(F.col("url")).alias("a"), "kind", "name", F.when(F.col("kind") == "string", F.col("path")).alias("path"), "value", "to_name", matching.number(F.col("to_url")).alias("no"))
+    telling = "|".join((f"^(?:{'|'.join(KIN)})$", OWN_NAMES, REMARKS, COMPANIONS))
+    flat = nested.flatten(table(spark, d, "entity_relationship"), "id", {"entity": "entity", "relationship": "relationship"}, telling)
+    flat = flat.where(F.col("kind").isin("item", "relation", "string")).select(matching.number(F.col("url")).alias("a"), "kind", "name", F.when(F.col("kind") == "string", F.col("path")).alias("path"), "value", "to_name", matching.number(F.col("to_url")).alias("no"))
     flat = cut(flat.where("a is not null"))
     persons = flat.where("kind = 'item'").select("a", "name")
     facts = flat.where("kind = 'string'")
