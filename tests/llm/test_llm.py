@@ -207,10 +207,13 @@ def test_main_body_rows(spark):
 def test_best_fit():
     r = np.random.default_rng(2)
     size = r.integers(1, 400, 3000)
-    source, cluster = r.integers(0, 5, 3000), np.where(r.random(3000) < 0.3, 1, np.arange(3000))
-    b = packing.best_fit(size, source, cluster, 1000)
-    used = np.bincount(b, size)
-    assert used.max() <= 1000 and len(used) <= -(-size.sum() // 1000) * 1.01 + 1
+    for source, cluster in ((r.integers(0, 40, 3000), np.where(r.random(3000) < 0.1, 1, np.arange(3000))), (np.where(r.random(3000) < 0.33, 0, r.integers(1, 40, 3000)), np.arange(3000))):
+        b = packing.best_fit(size, source, cluster, 1000)
+        used, least = np.bincount(b, size), -(-size.sum() // 1000)
+        assert used.max() <= 1000 and len(used) <= least * 1.03 + 1
+        for group in (source, cluster):  # a conflict only where counting proves it
+            n = collections.Counter(group.tolist())
+            assert all(k <= -(-n[g] // least) for (g, _), k in collections.Counter(zip(group.tolist(), b.tolist())).items())
     alone = packing.best_fit(np.array([5, 5, 5]), np.array([1, 2, 3]), np.array([7, 7, 8]), 100)
     assert len(set(alone.tolist())) == 1  # room goes before conflicts
     apart = packing.best_fit(np.full(20, 50), np.arange(20), np.repeat(np.arange(10), 2), 100)
