@@ -68,6 +68,18 @@ def unescape_html(c: Column) -> Column:
     return c
 
 
+#: A tag. A page without any is escaped at rest.
+MARKUP = r"(?i)<\s*(?:!doctype|/?[a-z][a-z0-9]*[\s/>])"
+
+
+def page_markup(c: Column) -> Column:
+    """A stored page, unescaped until markup appears; the number of rounds follows from its most escaped entity."""
+    depth = F.transform(F.regexp_extract_all(c, F.lit("&((?:amp;)*)(?:lt|gt|quot|nbsp|#39|#x27);"), F.lit(1)), lambda x: (F.length(x) / 4).cast("int"))
+    rounds = F.sequence(F.lit(0), F.coalesce(F.array_max(depth), F.lit(0)))
+    opened = F.aggregate(rounds, c, lambda page, _: F.when(page.rlike(MARKUP), page).otherwise(unescape_html(page)))
+    return F.when(c.rlike(MARKUP), c).otherwise(opened)
+
+
 def encode_bits(c: Column) -> Column:
     """Code points in binary, separated by spaces (ASCII; other characters need two UTF-16 units)."""
     return F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.bin(F.ascii(x))), " ")

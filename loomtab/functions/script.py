@@ -15,11 +15,8 @@ RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF))
 def _pairs() -> tuple[str, str]:
     spark = SparkSession.getActiveSession()
     chars = "".join(chr(c) for a, b in RANGES for c in range(a, b + 1))
-    try:
-        rule = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
-        out = rule.transliterate("\n".join(chars)).split("\n")
-    except Exception:  # without ICU characters stay as they are
-        return "", ""
+    rule = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")  # fails where it is missing: results must not depend on the machine
+    out = rule.transliterate("\n".join(chars)).split("\n")
     pairs = [(a, b) for a, b in zip(chars, out) if a != b and len(b) == 1]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 

@@ -1,6 +1,6 @@
 """Links of pages and the traversal of the frontier.
 
-Links come from ``href`` attributes. A link is useful if a recogniser takes the name in it for a person; the default
+Links come from ``href`` attributes with or without quotation marks; pages are unescaped until markup appears first. A link is useful if a recogniser takes the name in it for a person; the default
 recogniser is a pattern, any Column function may be given instead. Seen addresses are excluded exactly (anti-join).
 """
 
@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtab.config import DEFAULT, Config
-from loomtab.functions.names import strip_prefix_chars
+from loomtab.functions.names import page_markup, strip_prefix_chars
 from loomtab.functions.urls import decode_percent
 from loomtab.session import cut
 
-HREF = r'<a\s[^>]*?href="([^"]*)"'
+HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: Two to four Han characters, or two Latin words.
 PERSON = r"^(?:[一-龥]{2,4}|[A-Z][a-z]+ [A-Z][a-z]+)$"
 
@@ -26,9 +26,9 @@ def is_person(name: Column) -> Column:
 
 
 def links_flat(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, href), stripped; also over streams."""
-    got = pages.select(F.col(id_col).alias("page_id"), F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1))).alias("href"))
-    return got.select("page_id", F.trim("href").alias("href"))
+    """(page_id, href), stripped, of pages in whatever escaping they are stored; also over streams."""
+    got = pages.select(F.col(id_col).alias("page_id"), F.explode(F.regexp_extract_all(page_markup(F.col(html)), F.lit(HREF), F.lit(1))).alias("href"))
+    return got.select("page_id", F.trim(F.regexp_replace("href", "^[\"']|[\"']$", "")).alias("href"))
 
 
 def links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
@@ -85,6 +85,7 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     Each round joins the frontier only, and cuts its lineage through the shared checkpoint folder.
     """
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    edges = cut(edges.select("src", "dst"))  # worked out once, not anew in each round
     frontier = seen
     for k in range(1, depth + 1):
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")

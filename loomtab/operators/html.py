@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import unquote
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtab.config import DEFAULT, INFO, Config
+from loomtab.functions.names import MARKUP
 from loomtab.functions.urls import decode_percent
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -111,6 +113,19 @@ def dom(page: str, drop: tuple[str, ...] = DEFAULT.drop_tags) -> Tag:
     return b.root
 
 
+_MARKUP = re.compile(MARKUP)
+
+
+def unescape_at_rest(page: str) -> str:
+    """A stored page, unescaped until markup appears or nothing changes."""
+    while not _MARKUP.search(page):
+        plain = unescape(page)
+        if plain == page:
+            break
+        page = plain
+    return page
+
+
 def page_name(url: str | None) -> str:
     """Last part of the path, or the one before a number, decoded."""
     parts = (url or "").split("/")
@@ -135,11 +150,11 @@ def _cell(t: Tag, config: Config) -> dict:
         elif x.name == "img" and x.attrs.get("src"):
             images.append(x.attrs["src"])
 
-    def span(k: str) -> int:
+    def span(k: str, most: int) -> int:  # the bounds of the public standard for tables
         v = t.attrs.get(k, "").strip()
-        return min(max(1, int(v)), 1000) if v.isdigit() else 1
+        return min(max(1, int(v)), most) if v.isdecimal() else 1
 
-    return {"content": _clean(t.text()), "tag": t.name, "rs": span("rowspan"), "cs": span("colspan"), "links": links, "images": images}
+    return {"content": _clean(t.text()), "tag": t.name, "rs": span("rowspan", 65534), "cs": span("colspan", 1000), "links": links, "images": images}
 
 
 def _rows(table: Tag) -> list[list[Tag]]:
@@ -258,7 +273,7 @@ def _over_pages(pages: DataFrame, make, schema: str, arrow: pa.Schema, id_col: s
                 rows: list[tuple] = []
                 for i, u, h in zip(*(c.to_pylist() for c in part.columns)):
                     if h and h.strip():
-                        rows += make(i, u, h)
+                        rows += make(i, u, unescape_at_rest(h))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(arrow.types)], schema=arrow)
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, schema)
@@ -283,11 +298,14 @@ def table_measures(pages: DataFrame, config: Config = DEFAULT, id_col: str = "pa
     arrow = pa.schema([("page_id", pa.int64()), *[(k, pa.int32()) for k in ("table_no", "n_rows", "n_cols", "links", "images")], *[(k, pa.bool_()) for k in ("shape_ok", "density_ok", "words_ok")]])
 
     def make(i: int, u: str | None, h: str) -> list[tuple]:
-        out = []
-        for k, t in enumerate(x for x in dom(h, config.drop_tags).walk() if x.name == "table"):
-            m = measures(t)
-            out.append((i, k, m["n_rows"], m["n_cols"], m["links"], m["images"], *passes(m)))
-        return out
+        try:
+            out = []
+            for k, t in enumerate(x for x in dom(h, config.drop_tags).walk() if x.name == "table"):
+                m = measures(t)
+                out.append((i, k, m["n_rows"], m["n_cols"], m["links"], m["images"], *passes(m)))
+            return out
+        except Exception:  # a page that can't be parsed has no tables to measure; parse_tables reports it
+            return []
 
     return _over_pages(pages, make, "page_id long, table_no int, n_rows int, n_cols int, links int, images int, shape_ok boolean, density_ok boolean, words_ok boolean", arrow, id_col, url, html)
 
