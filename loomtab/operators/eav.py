@@ -1,8 +1,9 @@
 """Attribute-value rows into a wide, typed table.
 
 Two passes: :func:`discover` lists the attributes and infers a type for each from all of their values;
-:func:`widen` then pivots with one conditional aggregation per attribute. Which attributes fill which column, and as
-which type, is the caller's choice; :func:`report` holds it against all attributes and types discovered. A duplicate is resolved explicitly: of the
+:func:`widen` then pivots with one conditional aggregation per attribute. Which attributes fill which column is the
+caller's choice; a column's type is the one discovered from the values of its attributes, unless the caller overrides it.
+:func:`report` holds the choice against all attributes and types discovered. A duplicate is resolved explicitly: of the
 values that can be cast, the one in the row with the lowest order column wins (ties: the lowest value). The
 aggregation is combined before its only shuffle, so that one entity with a third of all rows costs one row per task.
 
@@ -133,7 +134,19 @@ def discover(df: DataFrame, attribute: str = "prop", value: str = "value") -> Da
     return got.withColumn("type", kind)
 
 
-def report(df: DataFrame, columns: dict[str, tuple[str, list[str]]], attribute: str = "prop", value: str = "value") -> DataFrame:
+def _type_of(counts: list) -> str:
+    """The type of several attributes together, by the rule of :func:`discover`."""
+    n, date, cm, kg = (sum(r[c] for r in counts) for c in ("n", "n_date", "n_cm", "n_kg"))
+    if not n:
+        return "text"
+    if 2 * date >= n and date >= max(cm, kg):
+        return "date"
+    if 2 * cm >= n and cm >= kg:
+        return "cm"
+    return "kg" if 2 * kg >= n else "text"
+
+
+def report(df: DataFrame, columns: dict[str, tuple[str | None, list[str]]], attribute: str = "prop", value: str = "value") -> DataFrame:
     """Every attribute of the table as :func:`discover` finds it, with the column of ``columns`` it fills and that column's type.
 
     ``status``: 'mapped'; 'other type' if most known values don't cast to the column's type, so that they are lost;
@@ -141,28 +154,28 @@ def report(df: DataFrame, columns: dict[str, tuple[str, list[str]]], attribute:
     """
     named = [(a, c, k) for c, (k, names) in columns.items() for a in names]
     wanted = df.sparkSession.createDataFrame(named, "attr string, column string, wanted string")
-    fits = F.lit(None).cast("long")
+    fits = F.when(F.col("wanted").isNull(), F.col("n"))  # the type discovered is taken
     for k in CASTS:
         fits = F.when(F.col("wanted") == k, F.col("n") if k == "text" else F.col(f"n_{k}")).otherwise(fits)
     status = F.when(F.col("n").isNull(), "absent").when(F.col("column").isNull(), "unmapped").when(fits * 2 < F.col("n"), "other type").otherwise("mapped")
     return discover(df, attribute, value).join(F.broadcast(wanted), "attr", "full").select("attr", "n", "type", "column", "wanted", status.alias("status"))
 
 
-def widen(df: DataFrame, columns: dict[str, tuple[str, list[str]]], entity: str = "name", attribute: str = "prop", value: str = "value", order: str = "row_id") -> DataFrame:
-    """One row per entity with a column for each key of ``columns`` = {column: (type, attribute keys)}.
+def widen(df: DataFrame, columns: dict[str, tuple[str | None, list[str]]], entity: str = "name", attribute: str = "prop", value: str = "value", order: str = "row_id") -> DataFrame:
+    """One row per entity with a column for each key of ``columns`` = {column: (type or None, attribute keys)}; None takes the type discovered.
 
     Attributes that ``columns`` doesn't name fill nothing; :func:`report` lists them. One named that doesn't occur
     gives a null column without costing an aggregation. The number of columns is the caller's, not the data's.
     """
     wanted = [a for _, (_, names) in columns.items() for a in names]
-    found = {r["attr"]: r["type"] for r in discover(df.where(attribute_key(F.col(attribute)).isin(wanted)), attribute, value).collect()}
+    found = {r["attr"]: r for r in discover(df.where(attribute_key(F.col(attribute)).isin(wanted)), attribute, value).collect()}
     name = clean(F.col(entity))
     rows = (
         df.select(name.alias("_e"), attribute_key(F.col(attribute)).alias("_a"), known(F.col(value)).alias("_v"), F.col(order).alias("_o"))
         .where(F.col("_e").isNotNull() & (F.col("_e") != "") & F.col("_a").isin(wanted) & F.col("_v").isNotNull())
     )
     to = {a: col for col, (_, names) in columns.items() for a in names if a in found}
-    kind = {a: k for _, (k, names) in columns.items() for a in names if a in found}
+    kind = {a: t or _type_of([found[x] for x in names if x in found]) for t, names in columns.values() for a in names if a in found}
     value_of = F.lit(None).cast("string")
     for k in dict.fromkeys(kind.values()):
         value_of = F.when(F.col("_a").isin([a for a in kind if kind[a] == k]), CASTS[k](F.col("_v"))).otherwise(value_of)

@@ -11,15 +11,15 @@ from loomtab.session import table
 #: Attributes of ``entity_triad`` whose values are lists of names, works, occupations or eras.
 LIST_PROPS = ["别名", "又名", "别称", "字号", "年号", "主要作品", "代表作品", "作品", "代表作", "身份", "职业"]
 
-#: Wide columns: type and the keys (see :func:`eav.attribute_key`) of the attributes that fill them.
+#: Wide columns: type (None: as discovered) and the keys (see :func:`eav.attribute_key`) of the attributes that fill them.
 PERSON = {
-    "birth_date": ("date", ["出生日期", "出生时间", "出生年月", "出生年份", "生日", "生年", "诞辰", "born", "birthdate", "dateofbirth"]),
-    "death_date": ("date", ["逝世日期", "逝世时间", "去世时间", "去世日期", "卒年", "卒日", "忌日", "died", "deathdate", "dateofdeath"]),
-    "height_cm": ("cm", ["身高", "身长", "height"]),
-    "weight_kg": ("kg", ["体重", "weight"]),
-    "ethnic": ("text", ["民族", "民族族群", "族别", "族群", "ethnicity", "ethnicgroup"]),
-    "dynasty": ("text", ["朝代", "时代", "所处时代", "所处朝代", "年代", "dynasty", "era"]),
-    "birthplace": ("text", ["出生地", "出生地点", "生地", "birthplace", "placeofbirth"]),
+    "birth_date": (None, ["出生日期", "出生时间", "出生年月", "出生年份", "生日", "生年", "诞辰", "born", "birthdate", "dateofbirth"]),
+    "death_date": (None, ["逝世日期", "逝世时间", "去世时间", "去世日期", "卒年", "卒日", "忌日", "died", "deathdate", "dateofdeath"]),
+    "height_cm": (None, ["身高", "身长", "height"]),
+    "weight_kg": (None, ["体重", "weight"]),
+    "ethnic": (None, ["民族", "民族族群", "族别", "族群", "ethnicity", "ethnicgroup"]),
+    "dynasty": (None, ["朝代", "时代", "所处时代", "所处朝代", "年代", "dynasty", "era"]),
+    "birthplace": (None, ["出生地", "出生地点", "生地", "birthplace", "placeofbirth"]),
 }
 
 
@@ -81,7 +81,7 @@ _SPAN = "《[^《》]*》|“[^“”]*”|「[^「」]*」|『[^『』]*』|‘
 _DELIM = r"/／、,，;；|｜\s\p{Z}①-⑳⑴-⒇㈠-㈩"
 
 
-def _p4_sql() -> str:
+def _p4_sql(columns: str = "row_id", least: int = 2) -> str:
     """An item is a run of quoted spans and characters that don't delimit; spaces between Latin words are kept aside."""
     kept = "value"
     for _ in range(2):
@@ -89,12 +89,12 @@ def _p4_sql() -> str:
     props = ", ".join(f"'{p}'" for p in LIST_PROPS)
     quotes = "\"“”「」『』‘’"
     item = f"regexp_replace(replace(x, chr(1), ' '), '^[{quotes}]*[\\s\\p{{Z}}]*[{quotes}]*|[{quotes}]*[\\s\\p{{Z}}]*[{quotes}]*$', '', 'g')"
-    return f"""WITH t AS (SELECT row_id, {kept} AS v FROM entity_triad WHERE {_KEY.format(c='prop')} IN ({props})),
- i AS (SELECT row_id, list_filter(list_transform(regexp_extract_all(v, '《[^《》]*》|(?:“[^“”]*”|「[^「」]*」|『[^『』]*』|‘[^‘’]*’|"[^"]*"|[^《{_DELIM}])+'), lambda x: {_STRIP.format(c=item)}), lambda x: x <> '') AS items FROM t)
- SELECT row_id, unnest(range(1, len(items) + 1)) AS pos, unnest(items) AS item FROM i WHERE len(items) >= 2"""
+    return f"""WITH t AS (SELECT {columns}, {kept} AS v FROM entity_triad WHERE {_KEY.format(c='prop')} IN ({props})),
+ i AS (SELECT {columns}, list_filter(list_transform(regexp_extract_all(v, '《[^《》]*》|(?:“[^“”]*”|「[^「」]*」|『[^『』]*』|‘[^‘’]*’|"[^"]*"|[^《{_DELIM}])+'), lambda x: {_STRIP.format(c=item)}), lambda x: x <> '') AS items FROM t)
+ SELECT {columns}, unnest(range(1, len(items) + 1)) AS pos, unnest(items) AS item FROM i WHERE len(items) >= {least}"""
 
 
-def _p5_sql() -> str:
+def _p5_sql(what: str) -> str:
     to = "CASE " + " ".join(f"WHEN k IN ({', '.join(repr(a) for a in names)}) THEN '{c}'" for c, (_, names) in PERSON.items()) + " END"
     n = "lower(translate(regexp_replace(v, '[\\s\\p{Z}]+', '', 'g'), '０１２３４５６７８９．－／', '0123456789.-/'))"
     d = "n"
@@ -111,14 +111,26 @@ def _p5_sql() -> str:
  WHEN regexp_matches(n, '^\\d(?:\\.\\d+)?(?:m|米|公尺)$') THEN round({num.format("regexp_extract(n, '^[0-9.]+')")} * 100)::INT::VARCHAR WHEN regexp_matches(n, '^\\d{{3,4}}(?:mm|毫米)$') THEN round({num.format("regexp_extract(n, '^[0-9]+')")} / 10)::INT::VARCHAR END"""
     kg = f"""CASE WHEN regexp_matches(n, '^\\d+(?:\\.\\d+)?(?:kg|kgs|千克|公斤)?$') THEN round({num.format("regexp_extract(n, '^[0-9.]+')")})::INT::VARCHAR WHEN regexp_matches(n, '^\\d+(?:\\.\\d+)?(?:斤|市斤)$') THEN round({num.format("regexp_extract(n, '^[0-9.]+')")} / 2)::INT::VARCHAR END"""
     unknown = r"(?i)^(?:[^\p{L}\p{N}\p{M}]*|.*(?:不详|未知|待考|不明|无考|失考|未详|存疑)|none|null|nan|n/a|unknown|无|暂无)$"
-    return f"""WITH a AS (SELECT row_id, {_STRIP.format(c=_NOTES.format(c='name'))} AS name, {_KEY.format(c='prop')} AS k, {_STRIP.format(c=_NOTES.format(c='value'))} AS v FROM entity_triad),
+    whole = "array_to_string(p, '-')"
+    date = f"CASE WHEN len(p) BETWEEN 1 AND 3 AND regexp_matches({whole}, '^\\d{{1,4}}(?:-\\d{{1,2}}){{0,2}}$') THEN array_to_string(list_concat([lpad(p[1], 4, '0')], list_transform(p[2:], lambda x: lpad(x, 2, '0'))), '-') END"
+    real = "CASE WHEN try_cast(d || '-01-01'[len(d) - 3:] AS DATE) IS NOT NULL AND d[:4] <> '0000' THEN d END"
+    a = f"a AS (SELECT row_id, {_STRIP.format(c=_NOTES.format(c='name'))} AS name, {_KEY.format(c='prop')} AS k, {_STRIP.format(c=_NOTES.format(c='value'))} AS v FROM entity_triad)"
+    if what == "attributes":
+        return f"""WITH {a}, b AS (SELECT k AS attr, CASE WHEN NOT regexp_matches(v, '{unknown}') THEN v END AS v FROM a WHERE k <> ''),
+ c AS (SELECT *, {parts} AS p, CASE WHEN ({cm})::INT BETWEEN 20 AND 300 THEN 1 END AS cm, CASE WHEN ({kg})::INT BETWEEN 1 AND 700 THEN 1 END AS kg FROM (SELECT *, {n} AS n FROM b)), e AS (SELECT *, {date} AS d FROM c),
+ g AS (SELECT attr, count(v) AS n, count({real}) AS n_date, count(cm) AS n_cm, count(kg) AS n_kg FROM e GROUP BY 1)
+ SELECT *, CASE WHEN n = 0 THEN 'text' WHEN n_date >= n / 2 AND n_date >= greatest(n_cm, n_kg) THEN 'date' WHEN n_cm >= n / 2 AND n_cm >= n_kg THEN 'cm' WHEN n_kg >= n / 2 THEN 'kg' ELSE 'text' END AS type FROM g"""
+    f = f"""WITH {a},
  b AS (SELECT row_id, name, {to} AS attr, v, {n} AS n FROM a WHERE name <> '' AND NOT regexp_matches(v, '{unknown}')),
- c AS (SELECT *, CASE WHEN attr IN ('birth_date', 'death_date') THEN {parts} END AS p FROM b WHERE attr IS NOT NULL),
- e AS (SELECT *, CASE WHEN len(p) BETWEEN 1 AND 3 AND regexp_matches(array_to_string(p, '-'), '^\\d{{1,4}}(?:-\\d{{1,2}}){{0,2}}$') THEN array_to_string(list_concat([lpad(p[1], 4, '0')], list_transform(p[2:], lambda x: lpad(x, 2, '0'))), '-') END AS d FROM c),
- f AS (SELECT row_id, name, attr, CASE WHEN attr IN ('birth_date', 'death_date') THEN CASE WHEN try_cast(rpad(d, 10, '-01-01'[(11 - 10 + len(d) - 4) - 0:]) AS DATE) IS NOT NULL AND d[:4] <> '0000' THEN d END
-  WHEN attr = 'height_cm' THEN {cm} WHEN attr = 'weight_kg' THEN {kg} ELSE v END AS val FROM e)
- SELECT name, attr, arg_min(val, row_id) AS val FROM f WHERE val IS NOT NULL GROUP BY 1, 2"""
+ c AS (SELECT *, CASE WHEN attr IN ('birth_date', 'death_date') THEN {parts} END AS p FROM b WHERE attr IS NOT NULL), e AS (SELECT *, {date} AS d FROM c),
+ f AS (SELECT row_id, name, attr, CASE WHEN attr IN ('birth_date', 'death_date') THEN {real} WHEN attr = 'height_cm' THEN {cm} WHEN attr = 'weight_kg' THEN {kg} ELSE v END AS val FROM e)"""
+    if what == "wide":
+        return f + " SELECT name, " + ", ".join(f"arg_min(val, row_id) FILTER (WHERE attr = '{c}' AND val IS NOT NULL) AS {c}" for c in PERSON) + " FROM f GROUP BY 1"
+    return f + " SELECT name, attr, arg_min(val, row_id) AS val FROM f WHERE val IS NOT NULL GROUP BY 1, 2"
 
 
 ORACLE["p4_found"] = _p4_sql()
-ORACLE["p5_found"] = _p5_sql().replace("rpad(d, 10, '-01-01'[(11 - 10 + len(d) - 4) - 0:])", "d || '-01-01'[len(d) - 3:]")
+ORACLE["p4_values"] = _p4_sql("row_id, name, prop", 1)
+ORACLE["p5_found"] = _p5_sql("cells")
+ORACLE["p5_wide"] = _p5_sql("wide")
+ORACLE["p5_attributes"] = _p5_sql("attributes")
