@@ -34,12 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_counted(df)[0]
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """The same, with the number of rows, which is counted as they are written."""
+def cut_counted(df: DataFrame, by: str | None = None) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, which is counted as they are written; ``by`` is a column of few values that gets folders of its own."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/loomtab-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy(*[by] if by else []).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
