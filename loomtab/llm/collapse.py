@@ -5,8 +5,10 @@ and merges the partitions' filters chunk by chunk: ``once = A | B``, ``again = A
 twice can escape ``again``. Pass 2 tests every row against it: rows that can't be repeats are singletons and aren't
 shuffled; the others are collapsed within each Arrow batch and grouped exactly by their whole canonical text.
 
+The canonical texts are worked out once and kept in a table of the shared folder, which both passes read.
+
 Bounds: the filter sent to the executors has at most ``max_bits`` bits; beyond that many keys the hash space is worked
-off in several rounds, each with a filter of its own. Groups with a large share of all rows are joined by broadcast of
+off in several rounds, each with a filter of its own and, as the table is laid out by rounds, rows of its own. Groups with a large share of all rows are joined by broadcast of
 their (countably few) keys, see :mod:`loomtab.operators.skew`.
 
 Defined cases: null equals empty text; rows with equal ids are one row; an empty table gives an empty result.
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtab.operators.skew import join_groups
-from loomtab.session import cut
+from loomtab.session import cut, cut_counted
 
 CHUNK = 1 << 15  # bytes of a filter that are merged together
 PROBES = 5
@@ -151,13 +153,15 @@ def repeat_filter(hashes: DataFrame, bits: int) -> bytes:
 
 def _split(rows: DataFrame, total: int, max_bits: int, bits_a_key: int) -> DataFrame:
     """Rows (id, key) as batches' groups (key, first_id, ids, n, maybe): maybe = possibly repeated."""
-    rounds = -(-total * bits_a_key // max_bits)
-    share = -(-total * bits_a_key // max(1, rounds))
+    rounds = max(1, -(-total * bits_a_key // max_bits))
+    share = -(-total * bits_a_key // rounds)
     bits = min(max_bits, 1 << max(13, (max(1, share) - 1).bit_length()))
     hashed = rows.select("id", "key", F.xxhash64("key").alias("h"))
+    if rounds > 1:  # laid out by rounds once, so that each reads its own rows only
+        hashed = cut_counted(hashed.withColumn("round", F.pmod(F.shiftright("h", 7), F.lit(rounds)).cast("int")), "round")[0]
     out = None
-    for r in range(max(1, rounds)):
-        mine = hashed if rounds <= 1 else hashed.where(F.pmod(F.shiftright("h", 7), F.lit(rounds)) == r)
+    for r in range(rounds):
+        mine = (hashed.where(F.col("round") == r) if rounds > 1 else hashed).select("id", "key", "h")
         held = rows.sparkSession.sparkContext.broadcast(repeat_filter(mine, bits))
 
         def test(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -184,8 +188,8 @@ def _split(rows: DataFrame, total: int, max_bits: int, bits_a_key: int) -> DataF
 
 def collapse(df: DataFrame, key: Column, id_col: str, max_bits: int = 1 << 27, bits_a_key: int = 8) -> DataFrame:
     """One row per statement: keep_id (the lowest id) and copies (the number of its rows)."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"))
-    got = _split(rows, rows.count(), max_bits, bits_a_key)
+    rows, total = cut_counted(df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")))
+    got = _split(rows, total, max_bits, bits_a_key)
     lone = got.where("not maybe").select(F.col("first_id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
     groups = got.where("maybe").groupBy("key").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("copies"))
     return lone.unionByName(groups.select("keep_id", "copies"))
@@ -193,8 +197,7 @@ def collapse(df: DataFrame, key: Column, id_col: str, max_bits: int = 1 << 27, b
 
 def copies(df: DataFrame, key: Column, id_col: str, max_bits: int = 1 << 27, bits_a_key: int = 8) -> DataFrame:
     """(keep_id, copy_id) for every row that states the same as one with a lower id."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"))
-    total = rows.count()
+    rows, total = cut_counted(df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")))
     possible = cut(_split(rows, total, max_bits, bits_a_key).where("maybe").select("key", "ids", "first_id", "n"))
     groups = possible.groupBy("key").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("size")).where("size > 1")
     pairs = join_groups(possible.select("key", "ids"), groups, "key", "size", total)
