@@ -41,21 +41,20 @@ GAP, SHIFT = 12, 3
 CHAIN, OWN = 12, 8
 #: Least tokens that neighbouring chains have together, or one of their runs alone: a sentence form that texts share has fewer.
 REGION, RUN = 30, 20
-_LEAD = re.compile(r"\s*(.{3,80}?[:：。.?？!！\n])", re.S)
+_LEAD = re.compile(r"\s*(.+?[:：。.?？!！\n])", re.S)
 BITS = 22
 
 
 def without_instructions(texts: list[str], shared: int = 3) -> list[str]:
-    """Passages without the leading clause that several of them share; repeated, for instructions of two clauses."""
+    """Passages without the leading clauses that several of them share; a passage never loses its last clause."""
     out = [t or "" for t in texts]
-    for _ in range(3):
-        lead = [m[1] if (m := _LEAD.match(t)) else None for t in out]
-        n = Counter(x.strip().lower() for x in lead if x)
-        cut = [x is not None and n[x.strip().lower()] >= shared for x in lead]
+    while True:
+        lead = [m if (m := _LEAD.match(t)) and t[m.end() :].strip() else None for t in out]
+        n = Counter(m[1].strip().lower() for m in lead if m)
+        cut = [m is not None and n[m[1].strip().lower()] >= shared for m in lead]
         if not any(cut):
-            break
-        out = [t[_LEAD.match(t).end() :] if c else t for t, c in zip(out, cut)]
-    return out
+            return out
+        out = [t[m.end() :] if c else t for t, m, c in zip(out, lead, cut)]
 
 
 class GramSet:
