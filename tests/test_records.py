@@ -131,3 +131,20 @@ def test_attributes_left_over_are_reported(spark):
     df = spark.createDataFrame(rows, "row_id long, name string, prop string, value string")
     got = {r["attr"]: (r["n"], r["type"], r["column"], r["status"]) for r in eav.report(df, {"height": ("cm", ["身高"]), "weight": ("kg", ["体重", "weight"])}).collect()}
     assert got == {"身高": (1, "cm", "height", "mapped"), "身髙": (1, "cm", None, "unmapped"), "体重": (2, "text", "weight", "other type"), "籍贯": (1, "text", None, "unmapped"), "weight": (None, None, "weight", "absent")}
+
+
+def test_types_are_discovered(spark):
+    rows = [(1, "甲", "身高", "180cm"), (2, "乙", "身高：", "1米75"), (3, "甲", "鞋码", "四十二"), (4, "甲", "建档日期", "1999年3月2日"), (5, "乙", "建档 日期[2]", "2001/4"), (6, "乙", "建档日期", "不详"), (7, "丙", "建档日期", "随口"), (8, None, "身高", "170cm")]
+    df = spark.createDataFrame(rows, "row_id long, name string, prop string, value string")
+    wide = eav.widen(df, {"filed": (None, ["建档日期"]), "height": (None, ["身高"]), "shoe": (None, ["鞋码"]), "none": (None, ["无此项"])})
+    got = {r["name"]: (r["filed"], r["height"], r["shoe"], r["none"]) for r in wide.collect()}
+    assert got == {"甲": ("1999-03-02", "180", "四十二", None), "乙": ("2001-04", "175", None, None), "丙": (None, None, None, None)}
+    as_text = {r["name"]: r["filed"] for r in eav.widen(df, {"filed": ("text", ["建档日期"])}).collect()}  # overridden
+    assert as_text == {"甲": "1999年3月2日", "乙": "2001/4", "丙": "随口"}
+
+
+def test_only_wanted_leaves(spark):
+    text = '[[["甲", "u/1"], {"父亲": "乙", "简介": "丙", "职": [{"名": "丁"}]}]]'
+    df = spark.createDataFrame([(1, text)], "id long, entity string")
+    got = [(r["kind"], r["path"]) for r in nested.flatten(df, "id", {"entity": "entity"}, r"^父亲$|名$").collect()]
+    assert got == [("item", None), ("string", "父亲"), ("string", "职[0].名")]

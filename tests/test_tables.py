@@ -185,3 +185,31 @@ def test_streams_equal_batch(spark, tmp_path):
     e.repartition(3).write.parquet(str(tmp_path / "e"))
     jobs.build_graph(jobs.queue_stream(spark, str(tmp_path / "e"), 1), str(tmp_path / "g"), str(tmp_path / "gc"))
     assert sorted(tuple(r) for r in jobs.graph_state(spark, str(tmp_path / "g")).collect()) == sorted(tuple(r) for r in graph.nodes_by_name(e).collect())
+
+
+def test_pages_in_any_escaping(spark):
+    import html as h
+
+    plain = "<div><a href='/item/%E7%94%B2/1'>甲</a><A HREF=/item/x >x</A><a href=\"/q?a=1\">q</a><table><tr><th>姓名</th><th>关系</th></tr><tr><td>甲</td><td>友</td></tr></table></div>"
+    rows, s = [(0, "u", plain), (8, "u", None), (9, "u", "no markup &amp; so")], plain
+    for k in range(1, 6):
+        s = h.escape(s)
+        rows.append((k, "u", s))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for r in crawl.links(df).collect():
+        got.setdefault(r["page_id"], set()).add(r["href"])
+    assert got == {k: {"/item/%E7%94%B2/1", "/item/x", "/q?a=1"} for k in range(6)}
+    cells = html.parse_tables(df).groupBy("page_id").count().collect()
+    assert {r["page_id"]: r["count"] for r in cells} == {k: 4 for k in range(6)}
+
+
+def test_joins_that_spread_hot_numbers(spark):
+    from loomtab.operators.skew import hot_keys, join_unique
+
+    rows = spark.range(40_000).selectExpr("cast(if(id % 3 = 0, 7, id) as long) as k", "id as v")
+    hot = hot_keys({"k": rows.select("k"), "v": rows.select("v")})
+    assert hot == {"k": [7], "v": []}
+    lookup = spark.range(0, 40_000, 2).selectExpr("id + 1 as k", "id as w")
+    assert join_unique(rows, lookup, "k", hot["k"]).exceptAll(rows.join(lookup, "k")).count() == 0
+    assert join_unique(rows, lookup, "k", hot["k"]).count() == rows.join(lookup, "k").count()
