@@ -291,6 +291,31 @@ def test_remarks_tell_namesakes_apart(spark):
     assert {(r["a"], r["b"], r["rule"]) for r in matching.match(na, ka, nb, kb).collect()} == {(1, 11, "remark once"), (2, 12, "remark once")}
 
 
+def test_matching_with_a_hot_person(spark):
+    """A person with a third of all statements, and persons known by weaker forms of their names."""
+    n = 60
+    name = lambda i: chr(0x4E00 + i) + chr(0x5000 + 3 * i) + chr(0x6000 + 7 * i)
+    persons = [(i, name(i)) for i in range(n)] + [(900, "霍热人")]
+    kin = [(i, "父亲", name((i + 7) % n)) for i in range(n)] + [(i, "好友", name((i + 11) % n)) for i in range(n)] + [(900, "弟子", name(i)) for i in range(n)]
+    alias = [(i, f"号{chr(0x7000 + 5 * i)}{chr(0x7800 + i)}") for i in range(n)]
+    a = matching.source_a(*(spark.createDataFrame(r, s) for r, s in ((persons, "a long, name string"), (kin, "a long, rel string, who string"), (alias, "a long, alias string"))))
+    seen_as = lambda i: alias[i][1] if i % 5 == 0 else name(i)
+    e = lambda x, i: f"['{x}', 'https://x/item/{i}']"
+    of = lambda i: e(seen_as(i % n), 1000 + i % n)
+    rows = [(of(i), "父亲", of(i + 7)) for i in range(n)] + [(of(i), "好友", of(i + 11)) for i in range(n)] + [(e("霍热人", 1900), "弟子", of(i)) for i in range(n)]
+    b = matching.source_b(spark.createDataFrame(rows, "c0 string, c1 string, c2 string"))
+    got = {(r["a"], r["b"]): r for r in matching.match(*a, *b).collect()}
+    assert set(got) == {(i, 1000 + i) for i in range(n)} | {(900, 1900)}
+    assert {got[i, 1000 + i]["rule"] for i in range(0, n, 5)} <= {"alias+2", "alias+1", "alias once"}
+
+
+def test_confidence_is_smoothed_precision(spark):
+    found = spark.createDataFrame([(1, 11, 0), (2, 12, 0), (3, 13, 0), (4, 14, 1), (5, 15, 1)], "a long, b long, rule int")
+    labels = spark.createDataFrame([(1, 11), (2, 12), (3, 99), (9, 14)], "a long, b long")
+    got = {r["rule"]: r["confidence"] for r in matching.confidence(found, labels).collect()}
+    assert got == {0: (2 + 1) / (3 + 2), 1: (0 + 1) / (1 + 2)}
+
+
 # ---- topics ----------------------------------------------------------------------------------------------------------
 def corpus(n=160):
     words = {"law": "契约 判词 诉状 陪审 法典 仲裁 赦令 刑名 讼狱 律例".split(), "art": "壁画 书法 琴谱 戏台 篆刻 装裱 画院 水墨 雕塑 版画".split(), "sport": "马球 决赛 锦标 球门 裁判 摔角 竞渡 长跑 蹴鞠 积分".split()}
