@@ -25,6 +25,7 @@ count once; ties resolve nothing; empty tables give no pair; columns that aren't
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtab.functions.script import simplify, simplify_map
+from loomtab.functions.script import RANGES, simplify, simplify_map
+from loomtab.operators import nested
 from loomtab.operators.skew import hot_keys, join_unique
 from loomtab.session import cut, cut_counted
 
@@ -66,6 +68,20 @@ def relation_class(word: Column, inverse: bool = False) -> Column:
     return F.coalesce(numbers[F.regexp_replace(F.coalesce(word, F.lit("")), r"[^\p{L}]", "")], F.lit(0)).cast("byte")
 
 
+_NUMBERS = [{w: list(CLASSES).index(INVERSE.get(k, k) if inverse else k) + 1 for w, k in _CLASS_OF.items()} for inverse in (False, True)]
+
+
+def _word(word: str | None) -> str:
+    """The letters of a relation word."""
+    return "".join(filter(str.isalpha, word or ""))
+
+
+def _classes(word: str | None) -> tuple[int, int, int]:
+    """(number of the class, of the class from the other side, number of the word in :data:`SINGLE`): the same as :func:`relation_class` and :func:`_single`."""
+    w = _word(word)
+    return _NUMBERS[0].get(w, 0), _NUMBERS[1].get(w, 0), SINGLE.index(w) + 1 if w in SINGLE else 0
+
+
 def name_key(name: Column) -> Column:
     """A name without remarks, white space, marks and case; words of a Latin name in order of the alphabet."""
     plain = F.lower(simplify(F.regexp_replace(F.coalesce(name, F.lit("")), BRACKETS, " ")))
@@ -78,25 +94,51 @@ def number(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"/(\d+)/?\s*$", 1).try_cast("long")
 
 
+_LAST_NUMBER = re.compile(r"/([0-9]+)/?[ \t\n\x0b\f\r]*[\x85\u2028\u2029]?\Z")
+
+
+def _number(url: str | None) -> int | None:
+    """The same as :func:`number`."""
+    m = _LAST_NUMBER.search(url or "")
+    n = int(m[1]) if m and len(m[1].lstrip("0")) < 20 else None
+    return n if n is not None and n < 1 << 63 else None
+
+
 _BRACKETS, _ADDRESS, _NUMBER = re.compile(BRACKETS), re.compile(ADDRESS, re.IGNORECASE), re.compile(r"/(\d+)/?$")
 _OUTER = re.compile(r"^\s*[\[(［]\s*(?=['\"‘’“”])|(?<=['\"‘’“”])\s*[\])］]\s*$")
 _WORD = re.compile(r"[^\W_]+")
 _LATIN = re.compile("[a-z]")
-#: An endpoint in its plain form, with a name that holds neither marks nor an address: name and number at once.
-_PLAIN = re.compile(r"\['([^'\"‘’“”\[\]()（）［］【】〔〕<>〈〉:]*)', '(?:https?://[^\s'\"‘’“”|,，\[\]［］()（）]*/(\d{1,18})/?)?'\]")
+#: An endpoint in its plain form, with a name that holds neither quotation marks nor an address: name and number at once.
+_PLAIN = re.compile(r"[\[(]'([^'\"‘’“”:]*)', '(?:(?i:https?)://[^\s'\"‘’“”|,，\[\]［］()（）]*/(\d{1,18})/?)?'[\])]")
 _REMARK = re.compile("^字|人$")  # 字 with a courtesy name, X人 with a place or dynasty
 
 
+def _whole_map(simple: dict[int, str]) -> dict[int, str]:
+    """The same map with all common characters: one that a map lacks costs more to translate than one that stays as it is."""
+    return {c: chr(c) for a, b in ((0x20, 0x24F), (0x3000, 0x303F), *RANGES, (0xFF00, 0xFFEF)) for c in range(a, b + 1)} | simple
+
+
 def _plain_key(name: str | None, simple: dict[int, str]) -> str:
     """The same as :func:`name_key`."""
     plain = (name or "").translate(simple).lower()
-    if plain.isalnum():
-        return plain
+    return plain if plain.isalnum() else _words_key(plain)
+
+
+def _words_key(plain: str) -> str:
     words = _WORD.findall(_BRACKETS.sub(" ", plain))
     key = "".join(words)
     return " ".join(sorted(words)) if _LATIN.search(key) else key
 
 
+def _remarks(name: str, simple: dict[int, str]) -> list[str]:
+    """Remarks in brackets in a name."""
+    found = _BRACKETS.findall(name)
+    if not found:
+        return found
+    remarks = {_REMARK.sub("", "".join(_WORD.findall(x[1:-1].translate(simple).lower()))) for x in found}
+    return sorted(x for x in remarks if x and not x.isdigit())
+
+
 def endpoint(s: str | None, simple: dict[int, str]) -> tuple[str, int | None]:
     """(key of the name, number) of an endpoint text with name and address in either order and any quotation."""
     return _parsed(s, simple)[:2]
@@ -106,7 +148,10 @@ def _parsed(s: str | None, simple: dict[int, str]) -> tuple[str, int | None, lis
     """(key of the name, number, remarks in brackets) of an endpoint text."""
     s = s or ""
     if easy := _PLAIN.fullmatch(s):
-        return _plain_key(easy[1], simple), int(easy[2]) if easy[2] else None, []
+        name, n = easy.groups()
+        plain = name.translate(simple).lower()
+        n = int(n) if n else None
+        return (plain, n, []) if plain.isalnum() else (_words_key(plain), n, _remarks(name, simple))
     m = _ADDRESS.search(s)
     n = _NUMBER.search(m[0]) if m else None
     name = _OUTER.sub("", _ADDRESS.sub("", s))
@@ -115,8 +160,7 @@ def _parsed(s: str | None, simple: dict[int, str]) -> tuple[str, int | None, lis
     key = "".join(words)
     if _LATIN.search(key):
         key = " ".join(sorted(words))
-    remarks = {_REMARK.sub("", "".join(_WORD.findall(x[1:-1].translate(simple).lower()))) for x in _BRACKETS.findall(name)}
-    return key, int(n[1]) if n and len(n[1]) < 19 else None, sorted(x for x in remarks if x and not x.isdigit())
+    return key, int(n[1]) if n and len(n[1]) < 19 else None, _remarks(name, simple)
 
 
 def with_keys(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -125,31 +169,42 @@ def with_keys(df: DataFrame, names: dict[str, str]) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *[T.StructField(k, T.StringType()) for k in names.values()]])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _whole_map(simple)
         for b in it:
             cols = list(b.columns)
             for c in names:
                 d = pc.dictionary_encode(b.column(b.schema.get_field_index(c)), null_encoding="encode")
-                cols.append(pa.array([_plain_key(t, simple) for t in d.dictionary.to_pylist()], pa.string()).take(d.indices))
+                cols.append(pa.array([_plain_key(t, whole) for t in d.dictionary.to_numpy(zero_copy_only=False)], pa.string()).take(d.indices))
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *names.values()])
 
     return df.mapInArrow(run, schema)
 
 
 def _endpoints(statements: DataFrame, c0: str, rel: str, c2: str) -> DataFrame:
-    """(n0, i0, m0, rel, n2, i2, m2), m the remarks at a name. In a batch each different text is parsed once, so that a hot person costs little."""
+    """(b, k, cls, word, who, no, m): each statement from either side, for a person b with the key of its name, the relation, the
+    other person's key and number, and the remarks at its own name.
+
+    In a batch each different text is parsed once, so that a hot person costs little.
+    """
     simple = {ord(a): b for a, b in simplify_map(statements.sparkSession).items()}
+    schema = pa.schema([("b", pa.int64()), ("k", pa.string()), ("cls", pa.int8()), ("word", pa.int8()), ("who", pa.string()), ("no", pa.int64()), ("m", pa.list_(pa.string()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _whole_map(simple)
         for b in it:
-            cols = []
-            for j in (0, 2):
-                d = pc.dictionary_encode(b.column(j), null_encoding="encode")
-                got = [_parsed(t, simple) for t in d.dictionary.to_pylist()]
-                at = d.indices
-                cols += [pa.array([g[0] for g in got], pa.string()).take(at), pa.array([g[1] for g in got], pa.int64()).take(at), pa.array([g[2] for g in got], pa.list_(pa.string())).take(at)]
-            yield pa.RecordBatch.from_arrays([*cols[:3], b.column(1), *cols[3:]], ["n0", "i0", "m0", "rel", "n2", "i2", "m2"])
+            n = b.num_rows
+            texts = pc.dictionary_encode(pa.concat_arrays([b.column(0), b.column(2)]), null_encoding="encode")
+            got = [_parsed(t, whole) for t in texts.dictionary.to_numpy(zero_copy_only=False)]
+            key, no, m = (pa.array([g[j] for g in got], t) for j, t in enumerate((pa.string(), pa.int64(), schema.field("m").type)))
+            at = texts.indices
+            other = pa.concat_arrays([at.slice(n), at.slice(0, n)])
+            words = pc.dictionary_encode(b.column(1), null_encoding="encode")
+            forth, back, word = (pa.array(x, pa.int8()).take(words.indices) for x in zip(*map(_classes, words.dictionary.to_pylist()))) if n else [pa.array([], pa.int8())] * 3
+            cols = [no.take(at), key.take(at), pa.concat_arrays([forth, back]), pa.concat_arrays([word, pa.repeat(pa.scalar(0, pa.int8()), n)]), key.take(other), no.take(other), m.take(at)]
+            out = pa.RecordBatch.from_arrays(cols, schema=schema)
+            yield out.filter(pc.is_valid(out.column(0)))
 
-    return statements.select(F.col(c0), F.col(rel), F.col(c2)).mapInArrow(run, "n0 string, i0 long, m0 array<string>, rel string, n2 string, i2 long, m2 array<string>")
+    return statements.select(F.col(c0), F.col(rel), F.col(c2)).mapInArrow(run, "b long, k string, cls byte, word byte, who string, no long, m array<string>")
 
 
 def _forms(key: Column, kind: str) -> Column:
@@ -171,7 +226,7 @@ def _forms(key: Column, kind: str) -> Column:
             one("initial", "I", F.concat(F.substring(F.element_at(words, 1), 1, 1), F.element_at(words, 2)), latin & (F.size(words) == 2)),
             one("initial", "I", F.concat(F.substring(F.element_at(words, 2), 1, 1), F.element_at(words, 1)), latin & (F.size(words) == 2)),
         ]
-    return F.filter(F.array(*made), lambda x: x.isNotNull())
+    return F.array_distinct(F.filter(F.array(*made), lambda x: x.isNotNull()))
 
 
 def _other_forms(key: Column) -> Column:
@@ -193,7 +248,7 @@ def _other_forms(key: Column) -> Column:
         one("initial", "I", F.concat(F.element_at(words, 1), F.element_at(words, 2)), latin & (F.size(words) == 2) & (F.length(F.element_at(words, 1)) == 1)),
         one("initial", "I", F.concat(F.element_at(words, 2), F.element_at(words, 1)), latin & (F.size(words) == 2) & (F.length(F.element_at(words, 2)) == 1)),
     ]
-    return F.filter(F.array(*made), lambda x: x.isNotNull())
+    return F.array_distinct(F.filter(F.array(*made), lambda x: x.isNotNull()))
 
 
 def _remarked(k: Column, remark: Column) -> Column:
@@ -218,41 +273,93 @@ def _whole(key: Column) -> Column:
     return F.xxhash64(F.concat(F.lit("F"), key))
 
 
+ITEM, KIN, OWN, REMARK = 1, 2, 4, 8
+
+
+def facts(df: DataFrame, kin: dict[str, str], own: str, remark: str) -> DataFrame:
+    """(a, part, k, cls, word, value, no) of nested records (id, entity, relationship): what matching reads of them, in one pass.
+
+    ``k``: key of the person's name. ``part`` adds up what a row is: the person itself (ITEM), a related person (KIN, ``value`` the key of the name,
+    ``no`` the number), a name of its own (OWN) or a fact that may stand beside its name (REMARK, ``value`` the text). ``kin``: {pattern of the path: relation}.
+    """
+    simple = {ord(a): b for a, b in simplify_map(df.sparkSession).items()}
+    schema = pa.schema([("a", pa.int64()), ("part", pa.int8()), ("k", pa.string()), ("cls", pa.int8()), ("word", pa.int8()), ("value", pa.string()), ("no", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = [(re.compile(p, re.ASCII), r) for p, r in kin.items()]
+        own_, remark_ = re.compile(own, re.ASCII), re.compile(remark, re.ASCII)
+        whole = _whole_map(simple)
+        key, number_, classes = functools.lru_cache(1 << 12)(lambda t: _plain_key(t, whole)), functools.lru_cache(1 << 12)(_number), functools.lru_cache(1 << 12)(_classes)
+
+        @functools.lru_cache(1 << 16)
+        def part(path: str) -> tuple[int, tuple[int, int, int]]:
+            rel = next((r for p, r in patterns if p.search(path)), None)
+            return KIN * (rel is not None) + OWN * bool(own_.search(path)) + REMARK * bool(remark_.search(path)), classes(rel)
+
+        def rows(texts: list[str | None], want: str) -> Iterator[tuple]:
+            for got in nested.parse_fields(texts, want, lambda path: part(path)[0] > 0):
+                for _, path, value, kind, name, url, to_name, to_url in got:
+                    if (a := number_(url)) is None:
+                        continue
+                    if kind == "relation":
+                        no, who, (cls, _, word) = number_(to_url), key(to_name), classes(value)
+                        if who and no != a:
+                            yield a, KIN, key(name), cls, word, who, no
+                    elif kind == "item":
+                        yield a, ITEM, key(name), 0, 0, None, None
+                    elif kind == "string":
+                        n, (cls, _, word) = part(path)
+                        if n == KIN:
+                            if who := key(value):
+                                yield a, n, key(name), cls, word, who, None
+                        else:
+                            yield a, n, key(name), 0, 0, value, None
+
+        for b in it:
+            for at in range(0, b.num_rows, 256):  # bounds the index of very long fields
+                x = b.slice(at, 256)
+                found = [r for j, want in enumerate(("entity", "relationship")) for r in rows(x.column(j).to_pylist(), want)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
+
+    return df.select("entity", "relationship").mapInArrow(run, "a long, part byte, k string, cls byte, word byte, value string, no long")
+
+
 def source_a(persons: DataFrame, kin: DataFrame, aliases: DataFrame, remarks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """names(a, form, key, own) and kin(a, own, cls, word, who, no) of the source with attributes; keys and names as 64-bit hashes.
 
     ``persons``: a, name; ``kin``: a, rel, who, and perhaps name (the person's own, as it stands beside the relation)
     and no (the other person's number); ``aliases``: a, alias;
-    ``remarks``: a, remark, facts that the other source puts in brackets beside a name.
+    ``remarks``: a, remark, facts that the other source puts in brackets beside a name. Of persons and kin whose keys are made already
+    (:func:`facts`), the former have a, k and the latter a, own, cls, word, k, no.
     """
-    keyed = lambda df, c, k: with_keys(df.select("a", c).where("a is not null").distinct(), {c: k}).select("a", k).where(f"{k} <> ''").distinct()
-    full = keyed(persons, "name", "k")
-    other = keyed(aliases, "alias", "k").join(full, ["a", "k"], "left_anti")
+    keyed = lambda df, c, k: (df if c == k else with_keys(df.select("a", c).where("a is not null").distinct(), {c: k})).select("a", k).where(f"a is not null and {k} <> ''").distinct()
+    full = keyed(persons, "k" if "k" in persons.columns else "name", "k")
+    hashed = full.hint("shuffle_hash")  # here and below: the other side is the long one, and isn't sorted
+    other = keyed(aliases, "alias", "k").join(hashed, ["a", "k"], "left_anti")
+    # no row comes twice: keys of a person differ, and so do the forms of a key
     names = full.select("a", "k", F.inline(_forms(F.col("k"), "full"))).unionByName(other.select("a", "k", F.inline(_forms(F.col("k"), "alias"))))
     if remarks is not None:
-        names = names.unionByName(full.join(keyed(remarks, "remark", "m"), "a").select("a", "k", F.lit("remark").alias("form"), _remarked(F.col("k"), F.col("m")).alias("key")))
-    none = F.lit(None)
-    kin = kin.select("a", (F.col("name") if "name" in kin.columns else none.cast("string")).alias("name"), relation_class(F.col("rel")).alias("cls"), _single(F.col("rel")).alias("word"), "who", (F.col("no") if "no" in kin.columns else none.cast("long")).alias("no"))
-    related = with_keys(kin.where("a is not null and (no is null or no <> a)"), {"name": "own", "who": "k"}).where("k <> ''")
+        names = names.unionByName(hashed.join(keyed(remarks, "remark", "m"), "a").select("a", "k", F.lit("remark").alias("form"), _remarked(F.col("k"), F.col("m")).alias("key")))
+    if "k" in kin.columns:
+        related = kin.where("a is not null and (no is null or no <> a) and k <> ''")
+    else:
+        none = F.lit(None)
+        kin = kin.select("a", (F.col("name") if "name" in kin.columns else none.cast("string")).alias("name"), relation_class(F.col("rel")).alias("cls"), _single(F.col("rel")).alias("word"), "who", (F.col("no") if "no" in kin.columns else none.cast("long")).alias("no"))
+        related = with_keys(kin.where("a is not null and (no is null or no <> a)"), {"name": "own", "who": "k"}).where("k <> ''")
     related = related.select("a", F.when(F.col("own") != "", _whole(F.col("own"))).alias("own"), "cls", "word", "no", F.xxhash64("k").alias("who"))
-    return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")).distinct(), related
+    return names.select("a", "form", F.xxhash64("key").alias("key"), F.xxhash64("k").alias("own")), related
 
 
 def source_b(statements: DataFrame, c0: str = "c0", rel: str = "c1", c2: str = "c2") -> tuple[DataFrame, DataFrame]:
-    """names(b, form, key) and kin(b, own, cls, word, who, no) of the source of (endpoint, relation, endpoint) statements.
+    """names(b, form, key), which may repeat, and kin(b, own, cls, word, who, no) of the source of (endpoint, relation, endpoint) statements.
 
     Both come from one table of (person, name, relation, related person), written once without a shuffle.
     """
-    raw = _endpoints(statements, c0, rel, c2)
-    s = raw.select("n0", "i0", "m0", relation_class(F.col("rel")).alias("r"), relation_class(F.col("rel"), True).alias("back"), _single(F.col("rel")).alias("w"), "n2", "i2", "m2")
-    both = s.select(F.explode(F.array(
-        F.struct(F.col("i0").alias("b"), F.col("n0").alias("k"), F.col("r").alias("cls"), F.col("w").alias("word"), F.col("n2").alias("who"), F.col("i2").alias("no"), F.col("m0").alias("m")),
-        F.struct(F.col("i2").alias("b"), F.col("n2").alias("k"), F.col("back").alias("cls"), F.lit(0).cast("byte").alias("word"), F.col("n0").alias("who"), F.col("i0").alias("no"), F.col("m2").alias("m")),
-    )).alias("x")).select("x.*").where("b is not null")
-    both = cut(both.select("b", "k", F.when(F.col("k") != "", _whole(F.col("k"))).alias("own"), "cls", "word", F.when(F.col("who") != "", F.xxhash64("who")).alias("who"), "no", "m"))
-    names = both.where("k <> ''").select("b", "k").distinct().select("b", F.inline(_other_forms(F.col("k")))).select("b", "form", F.xxhash64("key").alias("key")).distinct()
-    remarked = both.where("k <> '' and size(m) > 0").select("b", "k", F.explode("m").alias("m"))
-    names = names.unionByName(remarked.select("b", F.lit("remark").alias("form"), F.xxhash64(_remarked(F.col("k"), F.col("m"))).alias("key")).distinct())
+    both = _endpoints(statements, c0, rel, c2)
+    both = cut(both.select("b", "k", F.when(F.col("k") != "", _whole(F.col("k"))).alias("own"), "cls", "word", F.when(F.col("who") != "", F.xxhash64("who")).alias("who"), "no", F.when(F.size("m") > 0, F.col("m")).alias("m")))
+    remarked = F.transform(F.coalesce("m", F.array().cast("array<string>")), lambda x: F.struct(F.lit("remark").alias("form"), _remarked(F.col("k"), x).alias("key")))
+    names = both.where("k <> ''").select("b", "k", "m").distinct().select("b", F.inline(F.concat(_other_forms(F.col("k")), remarked))).select("b", "form", F.xxhash64("key").alias("key"))
     related = both.where("who is not null and (no is null or no <> b)").select("b", "own", "cls", "word", "who", "no")
     return names, related
 
@@ -278,7 +385,7 @@ def _evidence(keys_a: DataFrame, keys_b: DataFrame, of: tuple[str, ...] = tuple(
         return one.where(F.col(side) == F.col("_last")).select("form", "h", side, F.col("m").alias(f"m_{side}"))
 
     role = F.when(F.col("m_a").bitwiseAND(F.col("m_b")) != 0, 1).otherwise(0)
-    met = single(keys_a, "a").join(single(keys_b, "b"), ["form", "h"]).select("a", "b", "form", role.alias("role"))
+    met = single(keys_a, "a").hint("shuffle_hash").join(single(keys_b, "b"), ["form", "h"]).select("a", "b", "form", role.alias("role"))
     forms = [F.struct(F.sum(F.when(F.col("form") == list(SIDES).index(f), 1).otherwise(0)).alias("shared"), F.sum(F.when(F.col("form") == list(SIDES).index(f), F.col("role")).otherwise(0)).alias("roles")).alias(f) for f in of]
     return met.groupBy("a", "b").agg(*forms)
 
@@ -334,7 +441,8 @@ def _row_keys(names: DataFrame, kin: DataFrame, side: str) -> DataFrame:
     if "own" in names.columns:  # the source whose relations may be facts of a person without its name beside them
         bare = kin.where("own is null").select(side, "who", "cls").join(whole, side).select(h("k"), side, "cls")
         here = here.unionByName(bare)
-    several = whole.join(whole.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(side), side, "left_semi")
+    # few as a rule: written first, so that their size is known where the join with all relations is planned
+    several = cut(whole.groupBy(side).agg(F.collect_set("k").alias("k")).where("size(k) > 1").select(side, F.explode("k").alias("k")))
     here = here.unionByName(several.join(kin.where("own is not null").select(side, "who", "cls"), side).select(h("k"), side, "cls"))
     return here.withColumn("form", F.lit(list(SIDES).index("full")).cast("byte"))
 
@@ -355,12 +463,16 @@ def _once(names_a: DataFrame, names_b: DataFrame) -> DataFrame:
     sides = {"remark once": (["remark"], ["remark"]), "full once": (["full"], ["full"]), "alias once": (["full", "alias"], ["full"]), "title once": (["full"], ["full", "title"])}
 
     def single(names: DataFrame, side: str, n: int) -> DataFrame:
-        rules = F.array_compact(F.array(*[F.when(F.col("form").isin(forms[n]), F.lit(ORDER.index(r))) for r, forms in sides.items()]))
-        got = names.select(side, "key", F.explode(rules).alias("rule")).groupBy("key", "rule").agg(F.min(side).alias(side), F.max(side).alias("_last"))
-        return got.where(F.col(side) == F.col("_last")).select("key", "rule", side)
+        """(key, and for each rule the one person with the key, or null)."""
+        of = {r: F.when(F.col("form").isin(forms[n]), F.col(side)) for r, forms in sides.items()}
+        ends = [f(x).alias(f"{end}{k}") for k, x in enumerate(of.values()) for end, f in (("_first", F.min), ("_last", F.max))]
+        got = names.where(F.col("form").isin(sorted({f for forms in sides.values() for f in forms[n]}))).groupBy("key").agg(*ends)
+        return got.select("key", *[F.when(F.col(f"_first{k}") == F.col(f"_last{k}"), F.col(f"_first{k}")).alias(f"{side}{k}") for k in range(len(sides))])
 
     zero = F.lit(0).cast("long")
-    return single(names_a, "a", 0).join(single(names_b, "b", 1), ["key", "rule"]).groupBy("a", "b").agg(F.min("rule").alias("rule")).select("a", "b", "rule", zero.alias("shared"), zero.alias("roles"))
+    pair = lambda k, r: F.when(F.col(f"a{k}").isNotNull() & F.col(f"b{k}").isNotNull(), F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b"), F.lit(ORDER.index(r)).alias("rule")))
+    met = single(names_a, "a", 0).join(single(names_b, "b", 1).hint("shuffle_hash"), "key").select(F.inline(F.array_compact(F.array(*[pair(k, r) for k, r in enumerate(sides)]))))
+    return met.groupBy("a", "b").agg(F.min("rule").alias("rule")).select("a", "b", "rule", zero.alias("shared"), zero.alias("roles"))
 
 
 def match(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -369,19 +481,19 @@ def match(names_a: DataFrame, kin_a: DataFrame, names_b: DataFrame, kin_b: DataF
     done = _Done()
     done.add(_ruled(_evidence(_row_keys(names_a, kin_a, "a"), _row_keys(names_b, kin_b, "b"), ("full",)), FIRST))
     hot = hot_keys({"a": kin_a.select("a"), "b": kin_b.select("b"), "no": kin_b.select("no")})
-    own = names_a.where("form = 'full'").groupBy("a").agg(F.collect_set("own").alias("_own"))
+    own = cut(names_a.where("form = 'full'").groupBy("a").agg(F.collect_set("own").alias("_own")))
     # left over are persons without a pair; a form of theirs counts only if a left-over person of the other source has it, too
     left_a, left_b = done.left(names_a.where("form <> 'remark'"), "a"), done.left(names_b.where("form <> 'remark'"), "b")
     mine_a, mine_b = _by_person(left_a.join(left_b.select("key"), "key", "left_semi"), "a"), _by_person(left_b.join(left_a.select("key"), "key", "left_semi"), "b")
     keys_a = cut(_form_keys(join_unique(kin_a.select("a", "who", "cls"), mine_a, "a", hot["a"]), "a"))
-    left = cut(join_unique(kin_b.select("b", "cls", "who", "no"), mine_b, "b", hot["b"]))
+    left = cut(join_unique(kin_b.select("b", "cls", "who", "no"), mine_b.hint("shuffle_hash"), "b", hot["b"]))
 
     keys_b, new = [], done.pairs()
     while True:
         # related persons under their own names at first, then also under those that persons resolved last have in the first source
-        known = new.select("a", F.col("b").alias("no")).join(own, "a").select("no", "_own")
-        more = _form_keys(join_unique(left.where("no is not null").drop("who"), known, "no", hot["no"]).withColumn("who", F.explode("_own")), "b")
-        more, n = cut_counted((more if keys_b else more.unionByName(_form_keys(left, "b"))).join(keys_a.select("form", "h"), ["form", "h"], "left_semi"))
+        known = cut(new.select("a", F.col("b").alias("no")).join(own, "a").select("no", "_own"))  # few in later rounds, and then planned as such
+        more = _form_keys(join_unique(left.where("no is not null").drop("who"), known if keys_b else known.hint("shuffle_hash"), "no", hot["no"]).withColumn("who", F.explode("_own")), "b")
+        more, n = cut_counted((more if keys_b else more.unionByName(_form_keys(left, "b"))).join(keys_a.select("form", "h").hint("shuffle_hash"), ["form", "h"], "left_semi"))
         if not n:
             break
         rules = WEAK if keys_b else STRONG + WEAK

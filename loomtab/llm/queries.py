@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtab.functions.urls import page_key
 from loomtab.llm import collapse, leakage, mainbody, matching, packing, seen, topics
-from loomtab.operators import multivalue, nested
+from loomtab.operators import multivalue
 from loomtab.session import cut, table
 
 
@@ -20,18 +20,14 @@ COMPANIONS = r"同僚\[\d+\]\.姓名$"
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of numbers with the rule that found them and its confidence."""
-    telling = "|".join((f"^(?:{'|'.join(KIN)})$", OWN_NAMES, REMARKS, COMPANIONS))
-    flat = nested.flatten(table(spark, d, "entity_relationship"), "id", {"entity": "entity", "relationship": "relationship"}, telling)
-    flat = flat.where(F.col("kind").isin("item", "relation", "string")).select(matching.number(F.col("url")).alias("a"), "kind", "name", F.when(F.col("kind") == "string", F.col("path")).alias("path"), "value", "to_name", matching.number(F.col("to_url")).alias("no"))
-    flat = cut(flat.where("a is not null"))
-    persons = flat.where("kind = 'item'").select("a", "name")
-    facts = flat.where("kind = 'string'")
-    none = F.lit(None).cast("long").alias("no")
-    kin = flat.where("kind = 'relation'").select("a", "name", F.col("value").alias("rel"), F.col("to_name").alias("who"), "no").unionByName(facts.where(F.col("path").isin(KIN)).select("a", "name", F.col("path").alias("rel"), F.col("value").alias("who"), none))
-    kin = kin.unionByName(facts.where(F.col("path").rlike(COMPANIONS)).select("a", "name", F.lit("同僚").alias("rel"), F.col("value").alias("who"), none))
-    aliases = facts.where(F.col("path").rlike(OWN_NAMES)).select("a", F.explode(multivalue.items(F.col("value"))).alias("alias"))
-    remarks = facts.where(F.col("path").rlike(REMARKS)).select("a", F.explode(multivalue.items(F.col("value"))).alias("remark"))
-    names_a, kin_a = matching.source_a(persons, kin, aliases, remarks)
+    kin = {rf"^{p}\Z": p for p in KIN} | {COMPANIONS: "同僚"}
+    known = cut(matching.facts(table(spark, d, "entity_relationship"), kin, OWN_NAMES, REMARKS))
+    of = lambda part: known.where(F.col("part").bitwiseAND(part) != 0)
+    # a text of nothing but letters is one item
+    items = F.when(F.col("value").rlike(r"^\p{L}+$"), F.array("value")).otherwise(multivalue.items(F.col("value")))
+    aliases, remarks = (of(part).select("a", F.explode(items).alias(name)) for part, name in ((matching.OWN, "alias"), (matching.REMARK, "remark")))
+    kin = of(matching.KIN).select("a", F.col("k").alias("own"), "cls", "word", F.col("value").alias("k"), "no")
+    names_a, kin_a = matching.source_a(of(matching.ITEM).select("a", "k"), kin, aliases, remarks)
     names_b, kin_b = matching.source_b(table(spark, d, "relation_triad"))
     return matching.match(names_a, kin_a, names_b, kin_b)
 

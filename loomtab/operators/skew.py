@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fewer than this many groups can each hold more than 1/HOT of all rows, so the list of hot groups may be broadcast.
 HOT = 1000
+#: Buckets in which keys are counted at first.
+BUCKETS = 1 << 12
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, least: int = 10_000) -> DataFrame:
@@ -27,17 +29,24 @@ def hot_keys(rows: dict[str, DataFrame], least: int = 10_000) -> dict[str, list]
     """For each table of one number column the keys with more than ``max(least, rows / HOT)`` rows each.
 
     They are fewer than HOT a table by counting: more than HOT keys of more than ``least`` rows each means that the
-    table has more than HOT * least rows, so that the limit rises; the HOT largest are enough.
+    table has more than HOT * least rows, so that the limit rises. Rows are counted by buckets of keys first; keys are
+    counted only in the buckets that hold more rows than the limit, since no other can hold such a key.
     """
-    sizes = reduce(DataFrame.unionByName, [t.toDF("key").where("key is not null").select(F.lit(name).alias("name"), F.col("key").cast("long").alias("key")) for name, t in rows.items()])
-    sizes = sizes.groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n")))
-    largest = sizes.where(F.col("n") > least).withColumn("k", rank).where(F.col("k") <= HOT).collect()
+    number = F.col("key").cast("long")
+    slot = lambda k: F.when(number.isNotNull(), F.pmod(F.xxhash64(number), F.lit(BUCKETS)) + k * BUCKETS).otherwise(-1 - k)
+    keys = reduce(DataFrame.unionByName, [t.toDF("key").select(number.alias("key"), slot(k).alias("slot")) for k, t in enumerate(rows.values())])
+    sizes = keys.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = [0] * len(rows)
+    for r in sizes:
+        total[r["slot"] // BUCKETS if r["slot"] >= 0 else -1 - r["slot"]] += r["n"]
+    limit = [max(least, n // HOT) for n in total]
+    full = [r["slot"] for r in sizes if r["slot"] >= 0 and r["n"] > limit[r["slot"] // BUCKETS]]
     out: dict[str, list] = {name: [] for name in rows}
-    limit = {name: max(least, rows[name].count() // HOT) for name in {r["name"] for r in largest}}
-    for r in largest:
-        if r["n"] > limit[r["name"]]:
-            out[r["name"]].append(r["key"])
+    if full:
+        names = list(rows)
+        for r in keys.where(F.col("slot").isin(full)).groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(limit)).orderBy(F.desc("n")).collect():
+            if r["n"] > limit[k := r["slot"] // BUCKETS]:
+                out[names[k]].append(r["key"])
     return out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtab.functions.urls import page_key
 from loomtab.llm import collapse, leakage, mainbody, matching, packing, queries, seen, tokens, topics
+from loomtab.operators import skew
 
 rnd = random.Random(5)
 
@@ -316,6 +317,63 @@ def test_confidence_is_smoothed_precision(spark):
     assert got == {0: (2 + 1) / (3 + 2), 1: (0 + 1) / (1 + 2)}
 
 
+def _shuffled(spark, run):
+    """Rows that the jobs of ``run()`` write for shuffles."""
+    sc, group = spark.sparkContext, f"shuffled-{rnd.random()}"
+    sc.setJobGroup(group, "")
+    try:
+        run()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for j in sc.statusTracker().getJobIdsForGroup(group) for k in sc.statusTracker().getJobInfo(j).stageIds}
+    return sum(sc._jsc.sc().statusStore().lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+
+
+def test_hot_keys_send_counts_of_buckets(spark):
+    rows = spark.range(200_000, numPartitions=2).select(F.when(F.col("id") % 5 == 0, 7).otherwise(F.col("id")).alias("k"))
+    got = {}
+    sent = _shuffled(spark, lambda: got.update(skew.hot_keys({"k": rows, "l": rows.where("k <> 7")})))
+    assert got == {"k": [7], "l": []} and sent < 50_000
+
+
+def test_few_persons_of_several_names_move_no_relations(spark):
+    n = 20_000
+    kin = spark.range(n).selectExpr("id % 1000 as b", "id % 1000 as own", "cast(1 as byte) as cls", "id as who")
+    names = spark.range(1000).selectExpr("id as b", "'full' as form", "id as key").unionByName(spark.createDataFrame([(3, "full", 5000)], "b long, form string, key long"))
+    got, threshold = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "10k")  # all names are beyond it
+    try:
+        sent = _shuffled(spark, lambda: got.extend(matching._row_keys(names, kin, "b").collect()))
+    finally:
+        spark.conf.unset(threshold)
+    assert len(got) == n + 2 * (n // 1000) and sent < n // 2
+
+
+def test_facts(spark):
+    """Records read in one pass give the persons, relations and texts that the general way gives."""
+    url = "https://x/item/%E7/"
+    item = lambda name, no, facts: [[name, url + no if no else ""], facts]
+    entity = json.dumps([item("赵 匡胤（太祖）", "1", {"父亲": "赵弘殷", "字号": ["元朗", 7], "任职经历": [{"同僚": [{"姓名": "赵普"}]}], "父": "否"}), item("无", "", {"别名": "某"}), item("B. Ab", "2", {})], ensure_ascii=False)
+    relationship = json.dumps([[["赵匡胤", url + "1"], " 父亲：", ["赵弘殷", url + "9"]], [["赵匡胤", url + "1"], "友人", ["赵匡胤", url + "1"]], [["B. Ab", url + "2"], None, ["赵普", ""]]], ensure_ascii=False)
+    df = spark.createDataFrame([(1, entity, relationship), (2, None, ""), (3, "[[", "{")], "id long, entity string, relationship string")
+    got = [tuple(r) for r in matching.facts(df, {r"^父亲\Z": "父亲", queries.COMPANIONS: "同僚"}, queries.OWN_NAMES, queries.REMARKS).collect()]
+    parent, colleague = list(matching.CLASSES).index("parent") + 1, list(matching.CLASSES).index("colleague") + 1
+    item_, kin, text = matching.ITEM, matching.KIN, matching.OWN + matching.REMARK
+    assert sorted(got, key=str) == sorted([
+        (1, item_, "赵匡胤", 0, 0, None, None), (2, item_, "ab b", 0, 0, None, None), (1, text, "赵匡胤", 0, 0, "元朗", None),
+        (1, kin, "赵匡胤", parent, 1, "赵弘殷", None), (1, kin, "赵匡胤", colleague, 0, "赵普", None), (1, kin, "赵匡胤", parent, 1, "赵弘殷", 9), (2, kin, "ab b", 0, 0, "赵普", None),
+    ], key=str)
+
+
+def test_numbers_and_relations_agree_with_columns(spark):
+    urls = [None, "", "x/12", "x/12/", "x/12 \n", "x/1a", "x/9223372036854775807", "x/9223372036854775808", "x/0000000000000000000000012", "/1/2", "x/１２", "x/12\u3000"]
+    words = [None, "", "父亲", " 父 亲：", "「母亲」", "父亲2", "女婿", "弟子", "妃嫔", "好友\u0301", "岳父"]
+    rows = spark.createDataFrame([(u, w) for u in urls for w in words], "u string, w string")
+    got = rows.select("u", "w", matching.number(F.col("u")), matching.relation_class(F.col("w")), matching.relation_class(F.col("w"), True), matching._single(F.col("w"))).collect()
+    assert all(matching._number(r[0]) == r[2] and matching._classes(r[1]) == tuple(r[3:]) for r in got)
+
+
 # ---- topics ----------------------------------------------------------------------------------------------------------
 def corpus(n=160):
     words = {"law": "契约 判词 诉状 陪审 法典 仲裁 赦令 刑名 讼狱 律例".split(), "art": "壁画 书法 琴谱 戏台 篆刻 装裱 画院 水墨 雕塑 版画".split(), "sport": "马球 决赛 锦标 球门 裁判 摔角 竞渡 长跑 蹴鞠 积分".split()}
